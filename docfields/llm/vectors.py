@@ -33,6 +33,8 @@ def rows_of(array) -> np.ndarray:
     return flat.reshape(len(array), -1)
 
 
+LOWEST = -(1 << 62)  # below every score
+
 # ------------------------------------------------------------- near duplicates
 
 
@@ -344,8 +346,8 @@ def top_k(
                 if not len(need):
                     continue
                 score = (part[need].astype(exact) @ x[c : c + 2048].astype(exact).T).astype(np.int64)
-                score[ids[need, None] == x_id[None, c : c + 2048]] = np.iinfo(np.int64).min
-                new = np.full((len(part), score.shape[1]), np.iinfo(np.int64).min)
+                score[ids[need, None] == x_id[None, c : c + 2048]] = LOWEST
+                new = np.full((len(part), score.shape[1]), LOWEST)
                 new[need] = score
                 all_s = np.hstack([top, new])
                 all_i = np.hstack([top_id, np.broadcast_to(x_id[c : c + 2048], new.shape)])
@@ -355,7 +357,7 @@ def top_k(
                 if top.shape[1] >= k:
                     limit = np.maximum(limit, top[:, k - 1])
             if top.shape[1]:
-                real = top > np.iinfo(np.int64).min
+                real = top > LOWEST
                 real &= top >= limit[:, None]
                 r, _ = np.nonzero(real)
                 out.append(pd.DataFrame({"query_id": ids[r], "vec_id": top_id[real], "score": top[real]}))
@@ -371,7 +373,7 @@ def top_k(
             order[i] = c[np.lexsort((ids[i, c], -score[i, c]))[:k]]
         return order
 
-    none = float(np.iinfo(np.int64).min)
+    none = float(LOWEST)
 
     def own_ring(_, frame):
         frame = frame.sort_values("dist")
