@@ -36,6 +36,12 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import vectors
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op3_mix_sources": op3_mix_sources,
     "op5_near_duplicates": op5_near_duplicates,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_top_k": op8_top_k,
     "op9_secrets": op9_secrets,
     "op10_pack": op10_pack,
