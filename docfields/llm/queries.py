@@ -24,6 +24,12 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -62,6 +68,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
+    "op2_language": op2_language,
     "op3_mix_sources": op3_mix_sources,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_jaccard_join": op7_jaccard_join,
