@@ -62,15 +62,15 @@ def buckets_for(rows: int) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1, rows)) / 2))
 
 
-def per_process(key: str, make):
-    """``make()``, kept for the life of this Python process: workers are reused from task to task."""
+def per_process(slot: str, make, key: str = ""):
+    """``make()``, kept by this Python process for further tasks: one value for each slot, made anew for another key."""
     import sys
     import types
 
     kept = sys.modules.setdefault("_docfields_kept", types.ModuleType("_docfields_kept")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if slot not in kept or kept[slot][0] != key:
+        kept[slot] = (key, make())
+    return kept[slot][1]
 
 
 def bucket(n: int, *cols: Column) -> Column:
@@ -138,3 +138,24 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return cur.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(
         cur.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
     )
+
+
+def segments(column, limit: int = 1 << 21):
+    """(first row, last row, bytes, starts, ends) of runs of whole rows of an Arrow string column, about ``limit`` bytes each.
+
+    A null row is empty.  ``starts`` and ``ends`` count from the first byte of the segment.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    if not len(column):
+        return
+    column = column.cast(pa.large_string()).fill_null("")
+    edge = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    whole = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(edge, edge[first] + limit, side="right")) - 1)
+        yield first, last, whole[edge[first] : edge[last]], edge[first:last] - edge[first], edge[first + 1 : last + 1] - edge[first]
+        first = last

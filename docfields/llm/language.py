@@ -11,6 +11,7 @@ alone, so equal runs are computed once in a worker process.
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -235,12 +236,12 @@ def predict(docs: DataFrame, net: Network | None, languages: list[str]) -> DataF
     nothing could be learned; a null doc_id stays null; repeated rows are scored as often as
     they occur; other columns are ignored; an empty table gives no rows.
     """
-    tag = f"language scorer {np.random.default_rng().integers(1 << 62)}"
+    tag = uuid.uuid4().hex
 
     def run(batches):
         import pyarrow as pa
 
-        scorer = per_process(tag, lambda: Scorer(net)) if net is not None else None
+        scorer = per_process("language scorer", lambda: Scorer(net), tag) if net is not None else None
         for batch in batches:
             texts = batch.column(2).to_pylist()
             got = scorer(texts) if scorer else [None] * len(texts)

@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
     def cut(batches):
         import pyarrow as pa
 
-        encode = per_process(f"encoder {vocabulary}", lambda: Encoder(vocabulary))
+        encode = per_process("encoder", lambda: Encoder(vocabulary), vocabulary)
         kinds = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
