@@ -10,9 +10,10 @@ Sets with Jaccard similarity of at least 4/5 differ in at most (|x| + |y|) / 9 e
    least one part that is not empty holds the same elements in both.  Each part's content,
    hashed, is the key of a tile.  Keys are packed into byte blocks by hash bucket before the
    shuffle and sorted there; no key is rare or frequent enough to need a case of its own.
-3. The first round compares the smallest class of each tile with all others of the tile; the
-   second compares whatever classes of a tile are not yet connected, in chunks.  Sizes and the
-   bitmaps' bit counts bound the overlap from above; what passes is intersected exactly.  Only
+3. The first round compares the smallest class of each tile with all others of the tile, the
+   second each class with those closest to it by bit counts, the third whatever classes of a
+   tile are not yet connected; tiles of many classes are cut into pairs of chunks.  Sizes and
+   the bitmaps' bit counts bound the overlap from above; what passes is intersected exactly.  Only
    spanning links matter to the classes, so pairs that are connected already are never made.
 """
 
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, per_process
+from .common import components, materialize, per_process, segments
 
 SHINGLE = 5
 MIX1, MIX2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -36,29 +37,64 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Hashes(dict):
-    """Word -> 64-bit hash; starts over when large, so memory stays bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+class WordHasher:
+    """64-bit hashes of all words of a byte array at once.
 
+    A word's hash mixes two polynomials in its bytes, each byte first replaced by a random
+    64-bit value.  A-Z count as a-z.
+    """
 
-def shingles(text: str | None, words_of: Hashes, width: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the text's word shingles (A-Z lower-cased; white space is space and U+0009..U+000D)."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(words_of.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(words) - width + 1)
-    out = np.full(n, len(words) if len(words) < width else width, np.uint64)
-    for k in range(min(width, len(words))):
-        out = mixed(out) + h[k : k + n] if len(words) >= width else mixed(out) + h[k]
-    return np.unique(mixed(out))
+    def __init__(self, seed: int = 11):
+        rng = np.random.default_rng(seed)
+        self.values = rng.integers(0, 1 << 64, (2, 256), np.uint64)
+        self.values[:, 65:91] = self.values[:, 97:123]
+        self.base = rng.integers(0, 1 << 63, 2, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.powers = np.ones((2, 1), np.uint64)
+        self.space = np.zeros(256, bool)
+        self.space[[32, *range(9, 14)]] = True
+        self.factor = rng.integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, row) of every word; rows are given by their byte ranges."""
+        gap = self.space[data]
+        letters = data[~gap]
+        if not len(letters):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        begin = ~gap
+        begin[1:] &= gap[:-1]
+        edge = starts[(starts < ends) & (starts < len(data))]
+        begin[edge] = ~gap[edge]  # a row's first word begins there even if the row before ends in a word
+        at = np.flatnonzero(begin)
+        inner = np.cumsum(~gap)[at] - 1  # where words begin among the letters
+        size = np.diff(np.append(inner, len(letters)))
+        if (longest := int(size.max())) > self.powers.shape[1]:
+            steps = np.repeat(self.base[:, None], 2 * longest, axis=1)
+            steps[:, 0] = 1
+            self.powers = np.cumprod(steps, axis=1, dtype=np.uint64)
+        place = np.arange(len(letters)) - np.repeat(inner, size)
+        one, two = (np.add.reduceat(v[letters] * p[place], inner) for v, p in zip(self.values, self.powers))
+        return mixed(mixed(one) + two + size.astype(np.uint64)), np.searchsorted(ends, at, side="right")
+
+    def sets(self, column):
+        """Sorted distinct shingle hashes of every row of an Arrow string column, row by row."""
+        for first, last, data, starts, ends in segments(column):
+            h, row = self.words(data, starts, ends)
+            count = np.bincount(row, minlength=last - first)
+            begin = np.cumsum(count) - count
+            n = len(h) - SHINGLE + 1
+            if n > 0:
+                s = np.zeros(n, np.uint64)
+                for k, f in enumerate(self.factor):
+                    s += h[k : k + n] * f
+                s = mixed(s)
+            for b, m in zip(begin.tolist(), count.tolist()):
+                if m >= SHINGLE:
+                    own = np.sort(s[b : b + m - SHINGLE + 1])
+                    yield own[np.concatenate(([True], own[1:] != own[:-1]))]
+                elif m:
+                    yield mixed((h[b : b + m] * self.factor[:m]).sum(keepdims=True) + np.uint64(m))
+                else:
+                    yield np.zeros(0, np.uint64)
 
 
 # ------------------------------------------------------------------ bands and parts
@@ -103,9 +139,17 @@ def keys_of(h: np.ndarray, border: list[int]) -> np.ndarray:
     return np.concatenate(out)
 
 
+def digest_of(h: np.ndarray) -> int:
+    """Signed 64-bit digest of a sorted set."""
+    import xxhash
+
+    d = xxhash.xxh3_64_intdigest(h.tobytes())
+    return d - (1 << 64) if d >> 63 else d
+
+
 def bitmap(h: np.ndarray) -> bytes:
-    """Parities of the elements hashed to each bit; about one bit for each element, a power of two."""
-    bits = 64
+    """Parities of the elements hashed to each bit; about one bit for each element, a power of two from 512."""
+    bits = 512
     while bits < len(h):
         bits *= 2
     odd = np.bincount((mixed(h) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
@@ -141,15 +185,13 @@ def set_table(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
-        words_of = per_process("shingle words", Hashes)
+        hasher = per_process("shingles", WordHasher)
         for batch in batches:
             n, cid, bits = [], [], []
-            for x in batch.column(1):
-                h = shingles(x.as_py(), words_of)
+            for h in hasher.sets(batch.column(1)):
                 n.append(len(h))
-                cid.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).astype(np.int64))) if len(h) else None)
+                cid.append(digest_of(h) if len(h) else None)
                 bits.append(bitmap(h) if len(h) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(bits, pa.binary())],
@@ -164,13 +206,12 @@ def tiles(docs: DataFrame, border: list[int], buckets: int, flush: int = 1 << 20
 
     def emit(batches):
         import pyarrow as pa
-        import xxhash
 
-        words_of = per_process("shingle words", Hashes)
+        hasher = per_process("shingles", WordHasher)
 
         def blocks(keys, cids):
             k = np.concatenate(keys)
-            c = np.repeat(np.array([x for x, _ in cids], np.uint64), [m for _, m in cids])
+            c = np.repeat(np.array([x for x, _ in cids], np.int64), [m for _, m in cids])
             at = (k % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((c, k, at))
             k, c, at = k[order], c[order], at[order]
@@ -189,12 +230,11 @@ def tiles(docs: DataFrame, border: list[int], buckets: int, flush: int = 1 << 20
 
         keys, cids, held = [], [], 0
         for batch in batches:
-            for x in batch.column(0):
-                h = shingles(x.as_py(), words_of)
+            for h in hasher.sets(batch.column(0)):
                 if len(h):
                     k = keys_of(h, border)
                     keys.append(k)
-                    cids.append((xxhash.xxh3_64_intdigest(h.tobytes()), len(k)))
+                    cids.append((digest_of(h), len(k)))
                     held += len(k)
                     if held >= flush:
                         yield blocks(keys, cids)
@@ -238,8 +278,8 @@ def star_pairs(groups: DataFrame) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long").distinct()
 
 
-def rest_pairs(groups: DataFrame, label: DataFrame, meta: DataFrame, chunk: int = 2048) -> DataFrame:
-    """(a, b): pairs of classes of one tile that no link connects yet and that the bounds allow."""
+def open_rows(groups: DataFrame, label: DataFrame, meta: DataFrame, chunk: int = 2048) -> DataFrame:
+    """(tile, cid, label, n, bits): members of the tiles whose classes are not all connected yet."""
 
     def members(batches):
         import hashlib
@@ -268,29 +308,72 @@ def rest_pairs(groups: DataFrame, label: DataFrame, meta: DataFrame, chunk: int
     rows = groups.mapInArrow(members, "tile long, cid long").distinct()
     rows = rows.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     open_tiles = rows.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("tile")
-    rows = rows.join(open_tiles, "tile", "left_semi").join(meta, "cid")
+    return materialize(rows.join(open_tiles, "tile", "left_semi").join(meta, "cid").select("tile", "cid", "label", "n", "bits"), "open")
+
+
+def candidates(rows: DataFrame, nearest: int | None, buckets: int, room: int = 1 << 22) -> DataFrame:
+    """(a, b): pairs of a tile's classes under different labels that sizes and bit counts allow.
+
+    With ``nearest``, each class only with so many others, those of fewest differing bits.
+    Tiles come in buckets, and all tiles of a bucket are compared at once: row i with row i + d
+    for d = 1, 2, ... as long as both are in one tile.
+    """
 
     def compare(frame):
         import pandas as pd
 
-        frame = frame.drop_duplicates("cid").sort_values(["n", "cid"])
-        cid, label, n = (frame[c].to_numpy() for c in ("cid", "label", "n"))
+        frame = frame.sort_values(["tile", "n", "cid"])
+        tile, cid, label, n = (frame[c].to_numpy() for c in ("tile", "cid", "label", "n"))
         maps = [np.frombuffer(b, np.uint8) for b in frame["bits"]]
-        size = min(map(len, maps))
-        low = np.stack([fold(m, size) for m in maps])
-        a, b = [], []
-        for i in range(len(cid) - 1):
-            to = int(np.searchsorted(n, n[i] * 5 // 4, side="right"))
-            if to > i + 1:
-                differ = np.bitwise_count(low[i + 1 : to] ^ low[i]).sum(axis=1, dtype=np.int64)
-                m = n[i + 1 : to]
-                ok = linked(n[i], m, (n[i] + m - differ) // 2) & (label[i + 1 : to] != label[i])
-                for j in (np.flatnonzero(ok) + i + 1).tolist():
-                    if len(maps[i]) == size or may_link(n[i], maps[i], n[j], maps[j]):
-                        a.append(min(cid[i], cid[j])), b.append(max(cid[i], cid[j]))
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    return rows.groupBy("tile").applyInPandas(compare, "a long, b long").distinct()
+        low = np.stack([fold(m, 64) for m in maps]).view(np.uint64)
+        wide = np.array([len(m) > 64 for m in maps])
+        found, held = [], 0
+
+        def flush():
+            i, j, differ = (np.concatenate(x) for x in zip(*found))
+            found.clear()
+            both_wide = np.flatnonzero(wide[i] & wide[j])
+            ok = np.ones(len(i), bool)
+            for k in both_wide.tolist():
+                ok[k] = may_link(n[i[k]], maps[i[k]], n[j[k]], maps[j[k]])
+            i, j, differ = i[ok], j[ok], differ[ok]
+            if nearest is not None:
+                who, other, gap = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((differ, differ))
+                order = np.lexsort((other, gap, who))
+                who, other = who[order], other[order]
+                first = np.searchsorted(who, who, side="left")
+                keep = np.arange(len(who)) - first < nearest
+                i, j = who[keep], other[keep]
+            pairs = np.unique(np.stack((np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])), axis=1), axis=0)
+            return pairs
+
+        out = []
+        at, d = np.arange(len(tile) - 1), 1
+        while len(at):
+            at = at[at + d < len(tile)]
+            at = at[tile[at] == tile[at + d]]
+            at = at[n[at + d] * 4 <= n[at] * 5]  # sizes rise inside a tile
+            for lo in range(0, len(at), 1 << 18):
+                i = at[lo : lo + (1 << 18)]
+                j = i + d
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+                differ = np.bitwise_count(low[i] ^ low[j]).sum(axis=1, dtype=np.int64)
+                ok = linked(n[i], n[j], (n[i] + n[j] - differ) // 2)
+                if ok.any():
+                    found.append((i[ok], j[ok], differ[ok]))
+                    held += int(ok.sum())
+                    if held >= room:
+                        out.append(flush())
+                        held = 0
+            d += 1
+        if found:
+            out.append(flush())
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("tile"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandas(compare, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, meta: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -319,14 +402,12 @@ def verified(pairs: DataFrame, docs: DataFrame, meta: DataFrame, broadcast_rows:
 
     def arrays(batches):
         import pyarrow as pa
-        import xxhash
 
-        words_of = per_process("shingle words", Hashes)
+        hasher = per_process("shingles", WordHasher)
         for batch in batches:
             cids, sets = [], []
-            for c, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                h = shingles(x.as_py(), words_of)
-                if np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).astype(np.int64) == c:  # a repeated doc_id may hold another text
+            for c, h in zip(batch.column(0).to_pylist(), hasher.sets(batch.column(1))):
+                if len(h) and digest_of(h) == c:  # a repeated doc_id may hold another text
                     cids.append(c), sets.append(h.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "h"])
 
@@ -370,10 +451,13 @@ def jaccard_components(docs: DataFrame, bucket_bytes: int = 1 << 25) -> DataFram
     border = bands(longest)
     buckets = max(64, -(-total * 10 // bucket_bytes))
     groups = materialize(tiles(docs, border, buckets), "tiles")
-    first = verified(star_pairs(groups), docs, meta)
-    label = components(first).select(F.col("id").alias("cid"), F.col("component_id").alias("label"))
-    second = verified(rest_pairs(groups, label, meta), docs, meta)
-    links = first.union(second)
+    links = verified(star_pairs(groups), docs, meta)
+    for nearest in (2, None):  # the closest by bit counts connect most of what is left; then whatever remains
+        label = components(links).select(F.col("id").alias("cid"), F.col("component_id").alias("label"))
+        rows = open_rows(groups, label, meta)
+        count = rows.count()
+        if count:
+            links = links.union(verified(candidates(rows, nearest, max(64, count // 20_000)), docs, meta))
     reps = meta.select("cid", "rep")
     edges = (
         links.join(reps.select(F.col("cid").alias("a"), F.col("rep").alias("u")), "a")
