@@ -203,3 +203,39 @@ def digest(docs: DataFrame) -> DataFrame:
         F.size("pieces").alias("n_pieces"),
         F.size(F.array_distinct("pieces.shard")).alias("n_shards"),
     )
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for every pass of the mix over a document.
+
+    A pass that takes the whole document has its text unchanged; the one pass of a source that
+    the target cuts short has the words it takes, joined by single spaces.  n_chars follows.
+    """
+    size = size_of(F.col("text"))
+    key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
+    taken = mix(docs, **options).where(F.size("pieces") > 0)
+    # rows that repeat a doc_id pair up by source, size and number
+    same = W.partitionBy("_d", "_k", "_s")
+    taken = (
+        taken.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("size").alias("_s"), "pieces")
+        .withColumn("_n", F.row_number().over(same.orderBy(F.size("pieces"), F.col("pieces").cast("string"))))
+        .withColumn(
+            "_passes",
+            F.expr(
+                "transform(array_distinct(transform(pieces, p -> p.epoch)), e -> named_struct("
+                "'lo', array_min(transform(filter(pieces, p -> p.epoch = e), p -> p.first_word)), "
+                "'hi', array_max(transform(filter(pieces, p -> p.epoch = e), p -> p.last_word))))"
+            ),
+        )
+        .drop("pieces")
+    )
+    rows = docs.withColumn("_id", F.col("doc_id")).withColumn("_key", key).withColumn("_size", size)
+    rows = rows.withColumn("_no", F.row_number().over(W.partitionBy("_id", "_key", "_size").orderBy(F.xxhash64("text"))))
+    on = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")) & (F.col("_size") == F.col("_s")) & (F.col("_no") == F.col("_n"))
+    passes = rows.join(taken, on).withColumn("_pass", F.explode("_passes"))
+    part = F.expr(rf"array_join(slice(regexp_extract_all(text, r'({WORD_PATTERN})', 1), cast(_pass.lo as int) + 1, cast(_pass.hi - _pass.lo as int)), ' ')")
+    text = F.when((F.col("_pass.lo") == 0) & (F.col("_pass.hi") == F.col("_size")), F.col("text")).otherwise(part)
+    out = passes.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
