@@ -63,14 +63,22 @@ def buckets_for(rows: int) -> int:
 
 
 def per_process(slot: str, make, key: str = ""):
-    """``make()``, kept by this Python process for further tasks: one value for each slot, made anew for another key."""
+    """``make()``, kept by this Python process for further tasks, until another slot or key is asked for."""
     import sys
     import types
 
     kept = sys.modules.setdefault("_docfields_kept", types.ModuleType("_docfields_kept")).__dict__
-    if slot not in kept or kept[slot][0] != key:
-        kept[slot] = (key, make())
-    return kept[slot][1]
+    if kept.get("name") != (slot, key):
+        kept["value"] = None  # freed before its successor is made
+        kept["value"] = make()
+        kept["name"] = (slot, key)
+    return kept["value"]
+
+
+def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` written once, and marked for broadcasting if it has at most ``most`` rows; else joined by sorting."""
+    df = materialize(df, "small")
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
 
 
 def bucket(n: int, *cols: Column) -> Column:
@@ -140,7 +148,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
-def segments(column, limit: int = 1 << 21):
+def segments(column, limit: int = 1 << 20):
     """(first row, last row, bytes, starts, ends) of runs of whole rows of an Arrow string column, about ``limit`` bytes each.
 
     A null row is empty.  ``starts`` and ``ends`` count from the first byte of the segment.

@@ -3,8 +3,8 @@
 Trusted documents are those labelled good and not toxic.  Four in five of them are counted, the
 fifth sets the thresholds, so these are not flattered by text the model has seen.
 
-1. Code points: the ``SYMBOLS`` - 4 most frequent of the trusted texts have a symbol each, all
-   others share four (capital, letter, digit, other).
+1. Code points: the ``SYMBOLS`` - 4 most frequent of the corpus have a symbol each, all others
+   share four (capital, letter, digit, other).
 2. Counts: 4-grams of symbols are counted in every task and summed by gram, sharded over the
    cluster.  Lower orders are continuation counts: distinct left neighbours.  Discounts come
    from the counts of counts; each order's probabilities are a join of its counts with its
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, per_process, segments
+from .common import materialize, per_process, segments, small_side
 
 SYMBOLS, ORDER = 64, 4
 PRIOR = 200
@@ -34,13 +34,22 @@ START = 10  # a text begins as after a line's end
 
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, text, check): documents with a good label and no toxic or bad one."""
-    good = (
+    good = good_ids(labels)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language().alias("lang"), "text").where("text is not null and text <> ''")
+    # by sorting at every size: the set of good documents grows with the corpus
+    return rows.join(good.hint("merge"), "doc_id", "left_semi").withColumn("check", held_back(F.col("doc_id")))
+
+
+def good_ids(labels: DataFrame) -> DataFrame:
+    return (
         labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
         .where("q = 1 and coalesce(t, 0) = 0").select("doc_id")
     )
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language().alias("lang"), "text").where("text is not null and text <> ''")
-    return rows.join(good, "doc_id", "left_semi").withColumn("check", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+
+
+def held_back(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
 def language() -> Column:
@@ -119,7 +128,7 @@ def count_grams(rows: DataFrame, frequent: list[int]) -> DataFrame:
         table = per_process("symbols", lambda: symbol_table(frequent), str(frequent))
         total = np.zeros(SYMBOLS**ORDER, np.int32)
         for batch in batches:
-            for *_, data, starts, _ in segments(batch.column(0), 1 << 22):
+            for *_, data, starts, _ in segments(batch.column(0)):
                 g, n = np.unique(grams(data, starts, table)[0], return_counts=True)
                 total[g] += n.astype(np.int32)
         seen = np.flatnonzero(total)
@@ -136,7 +145,7 @@ def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     ``counts(gram, c)`` holds the highest order; a gram's suffix is the gram modulo a power of
     ``SYMBOLS``, its context the gram divided by ``SYMBOLS``.
     """
-    tables = [materialize(counts, "grams")]
+    tables = [counts]
     for order in range(ORDER - 1, 0, -1):
         suffix = (F.col("gram") % F.lit(SYMBOLS**order)).alias("gram")
         tables.insert(0, materialize(tables[0].select(suffix).groupBy("gram").agg(F.count(F.lit(1)).alias("c")), "grams"))
@@ -181,8 +190,7 @@ def score(docs: DataFrame, frequent: list[int], model) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        table = per_process("symbols", lambda: symbol_table(frequent), str(frequent))
-        cost = per_process("n-gram model", lambda: whole_table(model.value), tag)
+        table, cost = per_process("n-gram model", lambda: (symbol_table(frequent), whole_table(model.value)), tag)
         for batch in batches:
             n, total = [], []
             for first, last, data, starts, _ in segments(batch.column(0)):
@@ -215,25 +223,25 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985) -> Dat
     """
     spark = docs.sparkSession
     good = trusted(docs, labels)
-    counted = good.where("not check")
-    frequent = [r["code"] for r in count_points(counted).orderBy(F.desc("n"), "code").limit(SYMBOLS - 4).collect()]
+    frequent = [r["code"] for r in count_points(docs).orderBy(F.desc("n"), "code").limit(SYMBOLS - 4).collect()]
+    frequent = frequent if START in frequent or not frequent else [*frequent[: SYMBOLS - 5], START]
     rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), language().alias("lang"), F.xxhash64("text").alias("row"))
-    if not frequent:
+    grams_seen = materialize(count_grams(good.where("not check"), frequent), "grams") if frequent else None
+    if grams_seen is None or grams_seen.isEmpty():
         return rows.select("doc_id", "lang", "row", F.length("text").cast("long").alias("n_symbols"), *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "score", "threshold")], F.lit(True).alias("keep"))
-    frequent = frequent if START in frequent else [*frequent[: SYMBOLS - 5], START]
     parts = []
-    for seen, context in kneser_ney(count_grams(counted, frequent)):
+    for seen, context in kneser_ney(grams_seen):
         s, c = seen.toPandas(), context.toPandas()  # at most SYMBOLS ** 4 rows by construction
         parts.append((s["gram"].to_numpy(), s["p"].to_numpy(np.float32), c["context"].to_numpy(), c["backoff"].to_numpy(np.float32)))
     model = spark.sparkContext.broadcast(parts)
     scored = materialize(score(rows, frequent, model), "scored")
-    ids = good.where("check").select("doc_id").distinct()
-    held = scored.join(ids, "doc_id", "left_semi").where("n_symbols > 0")
-    mean = held.groupBy("lang").agg((F.sum("nll") / F.sum("n_symbols")).alias("mean"))
+    ids = good_ids(labels).where(held_back(F.col("doc_id")))
+    held = materialize(scored.join(ids, "doc_id", "left_semi").where("n_symbols > 0"), "held-back")
+    mean = small_side(held.groupBy("lang").agg((F.sum("nll") / F.sum("n_symbols")).alias("mean")))
     all_mean = held.agg((F.sum("nll") / F.sum("n_symbols")).alias("m")).first()["m"]
     all_mean = float(all_mean if all_mean is not None else np.log(SYMBOLS))
 
-    def drawn(df: DataFrame) -> DataFrame:  # one row for each language: bounded by the number of languages
+    def drawn(df: DataFrame) -> DataFrame:
         df = df.join(mean, "lang", "left").withColumn("mean", F.coalesce("mean", F.lit(all_mean)))
         return df.withColumn("score", (F.col("nll") + PRIOR * F.col("mean")) / (F.col("n_symbols") + PRIOR))
 
@@ -241,7 +249,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985) -> Dat
     # few held-back documents place a high quantile too low, so it is raised by two standard errors of their mean
     margin = 2 * F.coalesce(F.stddev_samp("score"), F.lit(1.0)) / F.sqrt(F.count(F.lit(1)))
     edge = (F.percentile_approx("score", quantile, 100_000) + margin).alias("threshold")
-    per_language = limit.groupBy("lang").agg(edge)
+    per_language = small_side(limit.groupBy("lang").agg(edge))
     overall = limit.agg(edge).first()["threshold"]
     judged = drawn(scored).join(per_language, "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(overall).cast("double")))
     return judged.select(
