@@ -24,6 +24,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; keeps deep expressions from growing with every use of a part."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def trimmed(c: Column | str) -> Column:
     """Without white space of any kind at both ends (``trim`` removes spaces only)."""
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
@@ -41,13 +46,12 @@ def present(c: Column | str) -> Column:
 
 def text(c: Column | str) -> Column:
     """Lower case, one space between words; empty, ``nan`` and ``none`` are missing."""
-    s = F.lower(squeezed(c))
-    return F.when(~s.isin("", "nan", "none"), s)
+    return let(F.lower(squeezed(c)), lambda s: F.when(~s.isin("", "nan", "none"), s))
 
 
 def number(c: Column) -> Column:
     """Plain decimal notation only, rounded to cents."""
-    return F.when(c.rlike(NUMBER), c.try_cast(MONEY))
+    return let(c, lambda s: F.when(s.rlike(NUMBER), s.try_cast(MONEY)))
 
 
 def rightmost_decimal(s: Column, lone_comma: Column, lone_dots: Column) -> Column:
@@ -63,17 +67,17 @@ def rightmost_decimal(s: Column, lone_comma: Column, lone_dots: Column) -> Colum
 
 def money(c: Column | str) -> Column:
     """Shared parser: spaces dropped; a lone comma is always the decimal separator."""
-    s = F.translate(trimmed(c), " ", "")
-    return number(rightmost_decimal(s, F.translate(s, ",.", "."), s))
+    return let(F.translate(trimmed(c), " ", ""), lambda s: number(rightmost_decimal(s, F.translate(s, ",.", "."), s)))
 
 
 def money_signed(c: Column | str) -> Column:
     """Training parser: also drops currency signs and codes; parentheses are negative."""
     s = F.regexp_replace(F.translate(trimmed(c), " $€£", ""), "USD|EUR|GBP", "")
-    negative = s.rlike(r"^\(.*\)$")
-    s = F.when(negative, F.regexp_replace(s, r"^\(|\)$", "")).otherwise(s)
-    value = number(rightmost_decimal(s, F.translate(s, ",.", "."), s))
-    return F.when(negative, -value).otherwise(value).cast(MONEY)
+
+    def value(t: Column) -> Column:
+        return number(rightmost_decimal(t, F.translate(t, ",.", "."), t))
+
+    return let(s, lambda t: F.when(t.rlike(r"^\(.*\)$"), -value(F.regexp_replace(t, r"^\(|\)$", ""))).otherwise(value(t)).cast(MONEY))
 
 
 def cents_comma(s: Column) -> Column:
@@ -93,32 +97,33 @@ def amount_from_scan(c: Column | str) -> Column:
     s = F.translate(col(c), *CONFUSED)
     s = squeezed(F.regexp_replace(s, r"[^0-9,.\-\s]", ""))
     found = F.regexp_extract_all(s, F.lit(f"({AMOUNT})"), 1)
-    parsed = F.transform(found, lambda t: number(cents_comma(F.translate(t, " ", ""))))
+    parsed = F.transform(found, lambda t: let(F.translate(t, " ", ""), lambda u: number(cents_comma(u))))
     return F.try_element_at(F.filter(parsed, lambda v: v.isNotNull()), F.lit(-1))
 
 
 def money_zonal(c: Column | str) -> Column:
     """Evaluation parser of the zonal path: everything but digits, separators and minus is dropped."""
-    return number(cents_comma(F.regexp_replace(col(c), r"[^0-9,.\-]", "")))
+    return let(F.regexp_replace(col(c), r"[^0-9,.\-]", ""), lambda s: number(cents_comma(s)))
 
 
 def text_zonal(c: Column | str) -> Column:
     """Lower case without punctuation; word characters, white space and hyphens stay."""
-    s = F.lower(squeezed(c))
-    return F.when(s != "", F.regexp_replace(s, r"(?U)[^\w\s\-]", ""))
+    return let(F.lower(squeezed(c)), lambda s: F.when(s != "", F.regexp_replace(s, r"(?U)[^\w\s\-]", "")))
 
 
 def iso_date(c: Column | str) -> Column:
     """``yyyy-MM-dd`` text of ISO dates and of month-first (else day-first) dates with / - or . between."""
-    s = trimmed(c)
-    iso = F.regexp_extract(s, r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})(?:[T ].*)?$", 1)
     pattern = r"^([0-9]{1,2})[/.\-]([0-9]{1,2})[/.\-]([0-9]{4}|[0-9]{2})$"
-    one, two, year = (F.regexp_extract(s, pattern, k) for k in (1, 2, 3))
-    year = F.when(F.length(year) == 2, F.concat(F.when(year < "69", "20").otherwise("19"), year)).otherwise(year)
-    first = one.try_cast("int") <= 12
-    month, day = F.when(first, one).otherwise(two), F.when(first, two).otherwise(one)
-    parts = F.when(s.rlike(pattern), F.concat_ws("-", year, month, day))
-    return F.coalesce(F.nullif(iso, F.lit("")), parts).try_cast("date").cast("string")
+
+    def parsed(s: Column) -> Column:
+        iso = F.regexp_extract(s, r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})(?:[T ].*)?$", 1)
+        one, two, year = (F.regexp_extract(s, pattern, k) for k in (1, 2, 3))
+        year = F.when(F.length(year) == 2, F.concat(F.when(year < "69", "20").otherwise("19"), year)).otherwise(year)
+        first = one.try_cast("int") <= 12
+        parts = F.when(s.rlike(pattern), F.concat_ws("-", year, F.when(first, one).otherwise(two), F.when(first, two).otherwise(one)))
+        return F.coalesce(F.nullif(iso, F.lit("")), parts).try_cast("date").cast("string")
+
+    return let(trimmed(c), parsed)
 
 
 def invoice_digits(c: Column | str) -> Column:
@@ -126,8 +131,7 @@ def invoice_digits(c: Column | str) -> Column:
 
 
 def not_null_text(c: Column | str) -> Column:
-    s = trimmed(c)
-    return F.when(~F.lower(s).isin("", "nan", "none"), s)
+    return let(trimmed(c), lambda s: F.when(~F.lower(s).isin("", "nan", "none"), s))
 
 
 def training_total(c: Column) -> Column:

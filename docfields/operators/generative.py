@@ -34,8 +34,7 @@ def placeholder(c: Column) -> Column:
 
 def training_field(field: str, c: Column | str) -> Column:
     """A field as it is written into training targets."""
-    s = N.trimmed(c)
-    s = F.when(~F.lower(s).isin("", "nan", "none"), s)
+    s = N.not_null_text(c)
     if field in N.MONEY_FIELDS:
         return N.money_signed(s).cast("string")
     return N.iso_date(s) if field == "invoice_date" else F.lower(F.regexp_replace(s, r"(?U)\s+", " "))
@@ -82,30 +81,41 @@ def salvaged(text: Column) -> Column:
 def as_map(text: Column) -> Column:
     """A JSON object as a map of texts; single quotes are tried as double ones."""
     kind = "map<string, string>"
-    return F.coalesce(F.from_json(text, kind), F.from_json(F.translate(text, "'", '"'), kind))
+    return N.let(text, lambda t: F.coalesce(F.from_json(t, kind), F.from_json(F.translate(t, "'", '"'), kind)))
 
 
-def json_fields(text: Column) -> dict[str, Column]:
-    """Canonical fields of generated JSON: top level first, then the usual nested objects; aliases in order."""
-    top = as_map(salvaged(without_task_token(text)))
-    sources = [top, *[F.when(F.try_element_at(top, F.lit(k)).startswith("{"), F.from_json(F.try_element_at(top, F.lit(k)), "map<string, string>")) for k in NESTED]]
+def nested(top: Column, keys: tuple[str, ...]) -> list[Column]:
+    """The objects under the given keys as maps; null where there is none."""
+    return [F.when(F.try_element_at(top, F.lit(k)).startswith("{"), F.from_json(F.try_element_at(top, F.lit(k)), "map<string, string>")) for k in keys]
+
+
+def json_fields(text: Column) -> Column:
+    """Struct of the canonical fields of generated JSON: top level first, then the usual nested objects; aliases in order."""
 
-    def lookup(field: str) -> Column:
-        found = [F.nullif(F.nullif(F.try_element_at(src, F.lit(a)), F.lit("")), F.lit("{}")) for src in sources for a in ALIASES[field]]
+    def lookup(sources: Column, field: str) -> Column:
+        values = F.flatten(F.transform(sources, lambda src: F.array(*[F.try_element_at(src, F.lit(a)) for a in ALIASES[field]])))
         # an object under an alias is a source, not a value
-        return F.coalesce(*[F.when(~v.startswith("{"), v) for v in found])
+        return F.get(F.filter(values, lambda v: v.isNotNull() & (v != "") & ~v.startswith("{")), F.lit(0))
 
-    number, date, total = (lookup(f) for f in CANONICAL)
-    return {"invoice_number": number, "invoice_date": F.coalesce(N.iso_date(date), date), "total_amount": F.coalesce(N.money(total).cast("string"), total)}
+    def fields(sources: Column) -> Column:
+        number, date, total = (lookup(sources, f) for f in CANONICAL)
+        return F.struct(
+            number.alias("invoice_number"), N.let(date, lambda d: F.coalesce(N.iso_date(d), d)).alias("invoice_date"),
+            N.let(total, lambda t: F.coalesce(N.money(t).cast("string"), t)).alias("total_amount"),
+        )
+
+    top = as_map(salvaged(without_task_token(text)))
+    return N.let(top, lambda t: N.let(F.array(t, *nested(t, NESTED)), fields))
 
 
-def flattened(text: Column) -> dict[str, Column]:
-    """All fields from the one nested object of highest priority (invoice, header, summary, else the top level)."""
-    top = as_map(without_task_token(text))
-    nested = [F.when(F.try_element_at(top, F.lit(k)).startswith("{"), F.from_json(F.try_element_at(top, F.lit(k)), "map<string, string>")) for k in NESTED[:3]]
-    src = F.coalesce(*nested, top)
-    value = lambda f: F.coalesce(*[F.nullif(F.try_element_at(src, F.lit(a)), F.lit("")) for a in ALIASES[f]])
-    return {f: training_field(f, value(f)) for f in N.FIELDS}
+def flattened(text: Column) -> Column:
+    """Struct of all fields from the one nested object of highest priority (invoice, header, summary, else the top level)."""
+
+    def fields(src: Column) -> Column:
+        values = {f: F.coalesce(*[F.nullif(F.try_element_at(src, F.lit(a)), F.lit("")) for a in ALIASES[f]]) for f in N.FIELDS}
+        return F.struct(*[training_field(f, v).alias(f) for f, v in values.items()])
+
+    return N.let(as_map(without_task_token(text)), lambda top: N.let(F.coalesce(*nested(top, NESTED[:3]), top), fields))
 
 
 def json_line_items(df: DataFrame, column: str, key: str) -> DataFrame:
@@ -118,18 +128,18 @@ def json_line_items(df: DataFrame, column: str, key: str) -> DataFrame:
 
 def text_fields(text: Column) -> dict[str, Column]:
     """Canonical fields by label patterns; values under three characters and numbers without digits are refused."""
+
+    def value(found: Column, test, shape) -> Column:
+        return N.let(found, lambda v: F.when((F.length(v) >= 3) & test(v), shape(v)))
+
     out = {}
     for f in CANONICAL:
-        v = first_match(text, TEXT_PATTERNS[f])
-        v = F.when(F.length(v) >= 3, v)
-        if f == "invoice_number":
-            v = F.when(v.rlike(r"\d"), v)
-        elif f == "invoice_date":
-            v = F.coalesce(N.iso_date(v), v)
-        else:
-            v = F.when(v.rlike(r"^[0-9,]+(\.[0-9]{2})?$"), v)
-            v = F.coalesce(N.money(v).cast("string"), v)
-        out[f] = v
+        test, shape = {
+            "invoice_number": (lambda v: v.rlike(r"\d"), lambda v: v),
+            "invoice_date": (lambda v: F.lit(True), lambda v: F.coalesce(N.iso_date(v), v)),
+            "total_amount": (lambda v: v.rlike(r"^[0-9,]+(\.[0-9]{2})?$"), lambda v: F.coalesce(N.money(v).cast("string"), v)),
+        }[f]
+        out[f] = value(first_match(text, TEXT_PATTERNS[f]), test, shape)
     return out
 
 

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 
 from ..functions import normalize as N
 
-PAGE = W.partitionBy("key")
-READING = W.partitionBy("key", "line_id").orderBy("x", "word_idx")
+
+def of_page() -> WindowSpec:
+    return W.partitionBy("key")
 
 
 def confident(words: DataFrame, least: float = 30) -> DataFrame:
@@ -55,7 +58,7 @@ def lines_running_mean(words: DataFrame) -> DataFrame:
 
     The centres change with every word, so this is a grouped-map function over whole pages.
     """
-    schema = words.schema.add("line_id", "int")
+    schema = T.StructType([*words.schema.fields, T.StructField("line_id", T.IntegerType())])
 
     def assign(frame):
         import statistics
@@ -96,7 +99,7 @@ def block_text(lined: DataFrame) -> DataFrame:
 
 def anchor_y(pattern: str) -> Column:
     """Smallest y of a page's words that match ``pattern`` as a whole, ignoring case."""
-    return F.min(F.when(N.trimmed("text").rlike(f"(?i)^(?:{pattern})$"), F.col("y"))).over(PAGE)
+    return F.min(F.when(N.trimmed("text").rlike(f"(?i)^(?:{pattern})$"), F.col("y"))).over(of_page())
 
 
 # Shares of the page's height at which regions begin and end.

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 
 from ..functions import normalize as N
 from ..functions.similarity import indel_ratio
 
-ORDER = W.partitionBy("key").orderBy("word_idx")
 REJECT = ("tax", "id", "iban", "vat", "invoice", "date")
 LINE_ANCHORS = ("summary", "vat", "tax", "net", "gross", "total", "amount")
 
 
+def in_order() -> WindowSpec:
+    return W.partitionBy("key").orderBy("word_idx")
+
+
 def spans_of_labels(labels: DataFrame) -> DataFrame:
     """(key, field, text, start, end) runs of ``label`` (B-X I-X ...) over (key, word_idx, text, label); an I that continues nothing is dropped."""
     label = F.coalesce(F.col("label"), F.lit("O"))
@@ -21,10 +25,10 @@ def spans_of_labels(labels: DataFrame) -> DataFrame:
     rows = labels.withColumn("_l", label).withColumn("_f", field)
     begins = F.col("_l").startswith("B-")
     inside = F.col("_l").startswith("I-")
-    before, before_field = F.lag("_l").over(ORDER), F.lag("_f").over(ORDER)
+    before, before_field = F.lag("_l").over(in_order()), F.lag("_f").over(in_order())
     # an island ends at every word that is no I of the field before it
     breaks = F.when(inside & before.isNotNull() & (before != "O") & (before_field == F.col("_f")), 0).otherwise(1)
-    rows = rows.withColumn("_island", F.sum(breaks).over(ORDER)).where(begins | inside)
+    rows = rows.withColumn("_island", F.sum(breaks).over(in_order())).where(begins | inside)
     found = rows.groupBy("key", "_island").agg(
         F.min_by("_l", "word_idx").alias("_first"), F.first("_f").alias("field"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "text"))), lambda w: w["text"]), " ").alias("text"),
@@ -49,14 +53,22 @@ def labels_of_spans(words: DataFrame, spans: DataFrame, priority: list[str]) ->
 
 def subsequence(haystack: Column, needle: Column) -> Column:
     """First 0-based place at which ``needle`` stands in ``haystack``; null if nowhere or if either is empty."""
-    n, m = F.size(haystack), F.size(needle)
-    places = F.filter(F.sequence(F.lit(0), n - m), lambda i: F.slice(haystack, i + 1, m) == needle)
-    return F.when((m > 0) & (n >= m), F.get(places, F.lit(0)))
+
+    def search(hay: Column, want: Column) -> Column:
+        n, m = F.size(hay), F.size(want)
+        places = F.filter(F.sequence(F.lit(0), n - m), lambda i: F.slice(hay, i + 1, m) == want)
+        return F.when((m > 0) & (n >= m), F.get(places, F.lit(0)))
+
+    return N.let(haystack, lambda hay: N.let(needle, lambda want: search(hay, want)))
 
 
 def value_spans(words: DataFrame, truth: DataFrame, fields: tuple[str, ...] = N.FIELDS) -> DataFrame:
     """(key, field, start, end): where a field's true value stands on its page, word for word."""
-    tokens = [F.transform("ws", lambda w, f=f: N.token_value(f, w["text"])).alias(f"hay_{f}") for f in fields]
+
+    def tokens_as(f: str) -> Column:
+        return F.transform("ws", lambda w: N.token_value(f, w["text"])).alias(f"hay_{f}")
+
+    tokens = [tokens_as(f) for f in fields]
     page = words.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("word_idx", "text"))).alias("ws")).select("key", "ws", *tokens).join(truth, "key")
     cells = [F.struct(F.lit(f).alias("field"), subsequence(F.col(f"hay_{f}"), N.value_tokens(f, f)).alias("at"), F.size(N.value_tokens(f, f)).alias("n")) for f in fields]
     found = page.select("key", "ws", F.inline(F.array(*cells))).where("at is not null")
@@ -66,14 +78,9 @@ def value_spans(words: DataFrame, truth: DataFrame, fields: tuple[str, ...] = N.
 
 def money_ngrams(words: DataFrame) -> DataFrame:
     """(key, amount, pos): distinct amounts of one, two or three neighbouring words, with the first place."""
-    one, two, three = F.col("text"), F.lead("text", 1).over(ORDER), F.lead("text", 2).over(ORDER)
-    grams = words.select("key", "word_idx", F.inline(F.array(
-        F.struct(F.lit(1).alias("n"), one.alias("t")), F.struct(F.lit(2).alias("n"), (F.concat_ws(" ", one, two)).alias("t")), F.struct(F.lit(3).alias("n"), F.when(three.isNotNull(), F.concat_ws(" ", one, two, three)).alias("t")),
-    ))) if False else words.withColumns({"_2": two, "_3": three}).select("key", "word_idx", F.inline(F.array(
-        F.struct(F.lit(1).alias("n"), F.col("text").alias("t")),
-        F.struct(F.lit(2).alias("n"), F.concat(F.col("text"), F.lit(" "), F.col("_2")).alias("t")),
-        F.struct(F.lit(3).alias("n"), F.concat(F.col("text"), F.lit(" "), F.col("_2"), F.lit(" "), F.col("_3")).alias("t")),
-    )))
+    near = words.withColumns({"_2": F.lead("text", 1).over(in_order()), "_3": F.lead("text", 2).over(in_order())})
+    one, two, three = F.col("text"), F.concat(F.col("text"), F.lit(" "), F.col("_2")), F.concat(F.col("text"), F.lit(" "), F.col("_2"), F.lit(" "), F.col("_3"))
+    grams = near.select("key", "word_idx", F.inline(F.array(*[F.struct(F.lit(k).alias("n"), t.alias("t")) for k, t in enumerate((one, two, three), 1)])))
     found = grams.withColumn("amount", N.money("t")).where("amount is not null")
     return found.groupBy("key", "amount").agg(F.min(F.struct("word_idx", "n")).alias("p")).select("key", "amount", F.col("p.word_idx").alias("pos"))
 

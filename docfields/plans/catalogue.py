@@ -293,7 +293,7 @@ def etl_clean_invoices(spark, sf_dir):
     return c.select("key", "batch_csv", "client_name", "seller_name", "invoice_number", "invoice_date", "tax", "total_amount", "net_worth")
 
 
-@query(ctes("raw", "invoices") + "SELECT r.key, CAST(round(total_cents / 100.0 - (total_cents / 100.0) / 1.1, 2) AS DOUBLE) AS tax FROM invoices r WHERE r.key % 5 = 0 AND r.key % 101 <> 0 AND NOT (r.key % 97 = 0 AND r.key % 3 = 2 AND false)")
+@query(ctes("raw", "invoices") + "SELECT r.key, CAST(round(total_cents / 100.0 - (total_cents / 100.0) / 1.1, 2) AS DOUBLE) AS tax FROM invoices r WHERE r.key % 5 = 0 AND r.key % 101 <> 0")
 def etl_tax_percent(spark, sf_dir):
     rows = etl.parsed(frame(spark, sf_dir, "raw").where("row_idx < 1000000000")).where(F.contains("tax", F.lit("%")))
     return rows.select("key", F.round(N.tax_value("tax", N.etl_number("total_amount")), 2).alias("tax"))
@@ -411,27 +411,28 @@ def batch_summary(spark, sf_dir):
     return profile.batch_summary(m.select("processed_file", "status").join(p, F.col("processed_file") == F.col("file_name"), "left"), N.FIELDS)
 
 
-@query(ctes("words") + "SELECT CAST(conf / 10 AS INT) AS decile, count(*) AS n, round(sum(conf) / 100.0, 2) AS total FROM (SELECT CAST(floor(conf / 10) * 10 AS INT) AS d10, conf FROM words) w, (SELECT 1) o GROUP BY decile".replace("CAST(conf / 10 AS INT) AS decile", "CAST(d10 / 10 AS INT) AS decile"))
+@query(ctes("words") + "SELECT CAST(floor(conf / 10.0) AS INT) AS decile, count(*) AS n, round(CAST(sum(conf) AS DOUBLE) / 100, 2) AS total FROM words GROUP BY 1")
 def confidence_rescaled(spark, sf_dir):
     w = profile.rescaled_confidence(frame(spark, sf_dir, "words"), "conf")
     return w.groupBy(F.floor(F.col("conf") / 10).cast("int").alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("confidence").cast("decimal(12,4)")).cast("double"), 2).alias("total"))
 
 
-BUCKET = "((key * 2654435761) % 1000003) % 1000"
+def q_bucket(key: str) -> str:
+    return f"((({key}) * 2654435761) % 1000003) % 1000"
 
 
-@query(ctes("truth") + f"SELECT CASE WHEN {BUCKET} < 800 THEN 'train' ELSE 'test' END AS part, count(*) AS n, CAST(sum(key) AS BIGINT) AS keys FROM truth GROUP BY 1")
+@query(ctes("truth") + f"SELECT CASE WHEN {q_bucket('key')} < 800 THEN 'train' ELSE 'test' END AS part, count(*) AS n, CAST(sum(key) AS BIGINT) AS keys FROM truth GROUP BY 1")
 def split_hash(spark, sf_dir):
     return etl.split(frame(spark, sf_dir, "truth"), F.col("key")).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("key").alias("keys"))
 
 
-@query(ctes("truth") + f"SELECT seller_name, CASE WHEN {BUCKET.replace('key', 'length(seller_name) * 31 + ascii(seller_name)').replace('(length', '((length').replace('seller_name) * 2654', 'seller_name)) * 2654')} < 700 THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM truth GROUP BY 1, 2")
+@query(ctes("truth") + f"SELECT seller_name, CASE WHEN {q_bucket('length(seller_name) * 31 + ascii(seller_name)')} < 700 THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM truth GROUP BY 1, 2")
 def split_vendor(spark, sf_dir):
     key = F.length("seller_name") * 31 + F.ascii("seller_name")
     return etl.split(frame(spark, sf_dir, "truth"), key, 700).groupBy("seller_name", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(ctes("truth") + f"SELECT key, seller_name FROM truth ORDER BY {BUCKET}, key LIMIT 100")
+@query(ctes("truth") + f"SELECT key, seller_name FROM truth ORDER BY {q_bucket('key')}, key LIMIT 100")
 def sample_fixed_n(spark, sf_dir):
     return etl.sample_n(frame(spark, sf_dir, "truth"), "key", 100).select("key", "seller_name")
 

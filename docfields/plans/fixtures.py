@@ -172,7 +172,7 @@ SEGMENTS_SPARK = f"{_inline('invoices')} UNION ALL {_inline('lines')}"
 _PLACED = """
 SELECT key, word_idx, text, CAST(y + (word_idx * 7) % 5 AS INT) AS y, CAST(x AS INT) AS x, CAST(8 * length(text) AS INT) AS w, 16 AS h,
   (key * 31 + word_idx * 17) % 101 AS conf, line AS true_line
-FROM (SELECT key, line, y, x, text, row_number() OVER (PARTITION BY key ORDER BY line, seg, pos) - 1 AS word_idx FROM ({split}) s) p
+FROM (SELECT key, line, y, x, text, CAST(row_number() OVER (PARTITION BY key ORDER BY line, seg, pos) - 1 AS BIGINT) AS word_idx FROM ({split}) s) p
 """
 
 WORDS_SPARK = _PLACED.replace(

@@ -1 +1 @@
-
+"""Readers and writers of the document tables."""

@@ -1 +1 @@
-
+"""The page extraction as a stream."""
