@@ -232,7 +232,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = docs.withColumn("_id", F.col("doc_id")).withColumn("_key", key).withColumn("_size", size)
     rows = rows.withColumn("_no", F.row_number().over(W.partitionBy("_id", "_key", "_size").orderBy(F.xxhash64("text"))))
     on = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")) & (F.col("_size") == F.col("_s")) & (F.col("_no") == F.col("_n"))
-    passes = rows.join(taken, on).withColumn("_pass", F.explode("_passes"))
+    passes = rows.join(taken.hint("merge"), on).withColumn("_pass", F.explode("_passes"))
     part = F.expr(rf"array_join(slice(regexp_extract_all(text, r'({WORD_PATTERN})', 1), cast(_pass.lo as int) + 1, cast(_pass.hi - _pass.lo as int)), ' ')")
     text = F.when((F.col("_pass.lo") == 0) & (F.col("_pass.hi") == F.col("_size")), F.col("text")).otherwise(part)
     out = passes.withColumn("text", text)

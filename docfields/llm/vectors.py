@@ -252,8 +252,8 @@ def top_k(
     """query_id, rank, vec_id, score: each query's ``k`` largest inner products of floored vectors, exactly.
 
     Vectors become integers floor(scale * x).  One more coordinate, sqrt(M - |v|^2) with M the
-    largest squared length, makes all of them equally long, and a larger inner product is then a
-    smaller distance.  Pivots come from a sample of at most ``sample`` vectors; every vector is
+    largest squared length, makes all of them equally long, with 0 in its place in queries, and a
+    larger inner product is then a smaller distance.  Pivots come from a sample of at most ``sample`` vectors; every vector is
     keyed by its nearest pivot and its distance to it.  A pivot's vectors fall into at most
     ``rings`` annuli of its distance range; an annulus of more than ``ring_rows`` vectors is
     spread over parts by hash.
@@ -292,8 +292,9 @@ def top_k(
     pivots = lift(seen)[:count]
     reach = 2.0 * float(np.sqrt(longest)) + 1e-9
 
-    def distances(x: np.ndarray) -> np.ndarray:
-        y = lift(x)
+    def distances(x: np.ndarray, query: bool = False) -> np.ndarray:
+        """To all pivots; a query's last coordinate is 0, so that its distance falls as the inner product rises."""
+        y = np.hstack([x.astype(np.float64), np.zeros((len(x), 1))]) if query else lift(x)
         d = np.einsum("ij,ij->i", y, y)[:, None] + np.einsum("ij,ij->i", pivots, pivots)[None, :] - 2 * y @ pivots.T
         return np.sqrt(np.maximum(d, 0.0))
 
@@ -375,11 +376,12 @@ def top_k(
 
     none = float(LOWEST)
 
-    def own_ring(_, frame):
+    def own_ring(place, frame):
         frame = frame.sort_values("dist")
         x, ids, dist = matrix(frame["v"].tolist(), "<i8"), frame["vec_id"].to_numpy(), frame["dist"].to_numpy()
         is_query = ids % every == 0
-        return best(x[is_query], ids[is_query], np.full(is_query.sum(), none), x, ids, dist, dist[is_query])
+        q_dist = distances(x[is_query], query=True)[:, place[0] // rings]
+        return best(x[is_query], ids[is_query], np.full(is_query.sum(), none), x, ids, dist, q_dist)
 
     result = "query_id long, vec_id long, score long"
     seeds = materialize(keyed.groupBy("ring", "part").applyInPandas(own_ring, result), "seeds")
@@ -396,7 +398,7 @@ def top_k(
                 continue
             raw = batch.column(3).to_pylist()
             x = matrix(raw, "<i8")
-            d = distances(x)[:, pivot_of]
+            d = distances(x, query=True)[:, pivot_of]
             gap = np.maximum(0.0, np.maximum(low[None] - d, d - high[None]) - 1e-6)
             length = np.einsum("ij,ij->i", x.astype(np.float64), x.astype(np.float64))
             bounds = np.array(batch.column(4).to_pylist())
