@@ -215,12 +215,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
     taken = mix(docs, **options).where(F.size("pieces") > 0)
     # rows that repeat a doc_id pair up by source, size and number
-    same = W.partitionBy("_d", "_k", "_s")
+    same = W.partitionBy("__d", "__k", "__s")
     taken = (
-        taken.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("size").alias("_s"), "pieces")
-        .withColumn("_n", F.row_number().over(same.orderBy(F.size("pieces"), F.col("pieces").cast("string"))))
+        taken.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), F.col("size").alias("__s"), "pieces")
+        .withColumn("__n", F.row_number().over(same.orderBy(F.size("pieces"), F.col("pieces").cast("string"))))
         .withColumn(
-            "_passes",
+            "__passes",
             F.expr(
                 "transform(array_distinct(transform(pieces, p -> p.epoch)), e -> named_struct("
                 "'lo', array_min(transform(filter(pieces, p -> p.epoch = e), p -> p.first_word)), "
@@ -229,12 +229,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         )
         .drop("pieces")
     )
-    rows = docs.withColumn("_id", F.col("doc_id")).withColumn("_key", key).withColumn("_size", size)
-    rows = rows.withColumn("_no", F.row_number().over(W.partitionBy("_id", "_key", "_size").orderBy(F.xxhash64("text"))))
-    on = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")) & (F.col("_size") == F.col("_s")) & (F.col("_no") == F.col("_n"))
-    passes = rows.join(taken.hint("merge"), on).withColumn("_pass", F.explode("_passes"))
-    part = F.expr(rf"array_join(slice(regexp_extract_all(text, r'({WORD_PATTERN})', 1), cast(_pass.lo as int) + 1, cast(_pass.hi - _pass.lo as int)), ' ')")
-    text = F.when((F.col("_pass.lo") == 0) & (F.col("_pass.hi") == F.col("_size")), F.col("text")).otherwise(part)
+    rows = docs.withColumn("__id", F.col("doc_id")).withColumn("__key", key).withColumn("__size", size)
+    rows = rows.withColumn("__no", F.row_number().over(W.partitionBy("__id", "__key", "__size").orderBy(F.xxhash64("text"))))
+    on = F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")) & (F.col("__size") == F.col("__s")) & (F.col("__no") == F.col("__n"))
+    passes = rows.join(taken.hint("merge"), on).withColumn("__pass", F.explode("__passes"))
+    part = F.expr(rf"array_join(slice(regexp_extract_all(text, r'({WORD_PATTERN})', 1), cast(__pass.lo as int) + 1, cast(__pass.hi - __pass.lo as int)), ' ')")
+    text = F.when((F.col("__pass.lo") == 0) & (F.col("__pass.hi") == F.col("__size")), F.col("text")).otherwise(part)
     out = passes.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
