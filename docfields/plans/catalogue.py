@@ -440,3 +440,24 @@ def sample_fixed_n(spark, sf_dir):
 @query(ctes("truth") + "SELECT seller_name, key, row FROM (SELECT seller_name, key, row_number() OVER (PARTITION BY seller_name ORDER BY key) AS row FROM truth) t WHERE row <= 3")
 def head_per_group(spark, sf_dir):
     return etl.head_per_group(frame(spark, sf_dir, "truth"), "seller_name", ["key"], 3).select("seller_name", "key", "row")
+
+
+@query(ctes("truth", "predictions") + "SELECT t.key, coalesce(p.seller_name, t.seller_name) AS name FROM truth t LEFT JOIN (SELECT key, max(seller_name) AS seller_name FROM predictions GROUP BY key) p ON p.key = t.key")
+def lookup_join(spark, sf_dir):
+    """A dictionary lookup as a left join: one value for each key, the truth where there is none."""
+    found = frame(spark, sf_dir, "predictions").groupBy("key").agg(F.max("seller_name").alias("_name"))
+    return frame(spark, sf_dir, "truth").join(found, "key", "left").select("key", F.coalesce("_name", "seller_name").alias("name"))
+
+
+@query(ctes("words") + "SELECT key, round(CAST(max(x + w) AS DOUBLE) / max(y + h), 6) AS ratio FROM words GROUP BY key")
+def aspect_ratios(spark, sf_dir):
+    size = frame(spark, sf_dir, "words").groupBy("key").agg(F.max(F.col("x") + F.col("w")).alias("width"), F.max(F.col("y") + F.col("h")).alias("height"))
+    return size.select("key", F.round(N.aspect_ratio("width", "height"), 6).alias("ratio"))
+
+
+@query(ctes("truth", "predictions") + f"SELECT field, count(*) AS n, count(*) FILTER (matched) AS matched, round(count(*) FILTER (matched) * 100.0 / count(*), 2) AS matched_pct FROM (SELECT field, (gt = pred) IS TRUE AS matched FROM (SELECT 'tax' AS field, {q_money('t.tax')} AS gt, {q_money('p.tax')} AS pred FROM truth t JOIN predictions p ON t.key = p.key UNION ALL SELECT 'total_amount', {q_money('t.total_amount')}, {q_money('p.total_amount')} FROM truth t JOIN predictions p ON t.key = p.key) c) m GROUP BY field")
+def match_rates(spark, sf_dir):
+    t, p = truth_and_predictions(spark, sf_dir)
+    fields = ("tax", "total_amount")
+    cells = evaluate.long_form(evaluate.paired(t, p, "key", fields), fields, N.normalizer, "key")
+    return profile.group_rates(cells.withColumn("matched", F.coalesce(F.col("gt") == F.col("pred"), F.lit(False))), "field", ["matched"])

@@ -162,6 +162,15 @@ def totals_cascade(spark, sf_dir):
     return found.select("key", "path", *[F.col(c).cast("double").alias(c) for c in ("net_worth", "tax", "total_amount")])
 
 
+@query(ctes("invoices") + "SELECT key, CAST(net_cents AS DOUBLE) / 100 AS net_worth, CAST(tax_cents AS DOUBLE) / 100 AS tax, CAST(total_cents AS DOUBLE) / 100 AS total_amount, CASE WHEN key % 3 = 0 OR key % 4 = 0 OR key % 5 = 0 THEN 'reassigned_triplet' ELSE 'entity_first' END AS source FROM invoices")
+def money_resolve(spark, sf_dir):
+    t = frame(spark, sf_dir, "truth")
+    money = {f: N.money(f) for f in N.MONEY_FIELDS}
+    pool = lambda f, k: F.when(F.col("key") % k != 0, F.array(money[f])).otherwise(F.array().cast("array<decimal(18,2)>"))
+    found = t.select("key", extract.resolve_money(pool("tax", 3), pool("net_worth", 4), pool("total_amount", 5), F.array(*money.values())).alias("s"))
+    return found.select("key", *[F.col(f"s.{c}").cast("double").alias(c) for c in N.MONEY_FIELDS], "s.source")
+
+
 STARTS = (("item_no", 50), ("description", 110), ("qty", 420), ("um", 500), ("net_price", 560), ("net_worth", 670), ("vat_pct", 780), ("gross_worth", 870))
 _column = "CASE " + " ".join(f"WHEN x + w / 2.0 < {(a[1] + b[1]) / 2} THEN '{a[0]}'" for a, b in zip(STARTS, STARTS[1:])) + f" ELSE '{STARTS[-1][0]}' END"
 def _cell(c: str) -> str:
