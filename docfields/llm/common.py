@@ -31,12 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage the way ``checkpoint()`` does, but in one pass, in columns and with
-    statistics; a lost executor costs only its unfinished tasks.
+    statistics; a lost executor costs only its unfinished tasks.  Tables that are ``small``
+    beside the input (links, pairs, ids) are dealt evenly to a sixteenth of the shuffle
+    partitions first, so that a wide cluster does not write thousands of tiny files.
     """
+    if small:
+        df = df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -77,7 +81,7 @@ def per_process(slot: str, make, key: str = ""):
 
 def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
     """``df`` written once, and marked for broadcasting if it has at most ``most`` rows; else joined by sorting."""
-    df = materialize(df, "small")
+    df = materialize(df, "small", small=True)
     return F.broadcast(df) if df.count() <= most else df.hint("merge")
 
 
@@ -115,7 +119,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     the logarithm of the component size.  Each round is written to the shared folder.
     """
     cur = materialize(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"
+        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", small=True
     )
     last = None
     for _ in range(max_rounds):
@@ -132,7 +136,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .union(low.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct()
         )
-        new = materialize(small, "edges")
+        new = materialize(small, "edges", small=True)
         sign = tuple(
             new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         )

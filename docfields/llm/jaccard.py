@@ -393,9 +393,9 @@ def verified(pairs: DataFrame, docs: DataFrame, meta: DataFrame, broadcast_rows:
     one = meta.select(F.col("cid").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("b1"))
     two = meta.select(F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("b2"))
     close = pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "b1", "n2", "b2")
-    close = materialize(close.mapInArrow(bounded, "a long, b long"), "pairs")
+    close = materialize(close.mapInArrow(bounded, "a long, b long"), "pairs", small=True)
     needed = close.select(F.col("a").alias("cid")).union(close.select("b")).distinct().join(meta, "cid").select("cid", F.col("rep").alias("doc_id"))
-    needed = materialize(needed, "needed")
+    needed = materialize(needed, "needed", small=True)
     # few documents take part as a rule; beyond that the texts are shuffled instead
     side = F.broadcast(needed) if needed.count() <= broadcast_rows else needed
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id").select("cid", "text")
@@ -429,7 +429,7 @@ def verified(pairs: DataFrame, docs: DataFrame, meta: DataFrame, broadcast_rows:
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
     both = close.join(whole.select(F.col("cid").alias("b"), F.col("h").alias("h2")), "b").join(whole.select(F.col("cid").alias("a"), F.col("h").alias("h1")), "a")
-    return materialize(both.select("a", "b", "h1", "h2").mapInArrow(intersect, "a long, b long"), "verified")
+    return materialize(both.select("a", "b", "h1", "h2").mapInArrow(intersect, "a long, b long"), "verified", small=True)
 
 
 def jaccard_components(docs: DataFrame, bucket_bytes: int = 1 << 25) -> DataFrame:
