@@ -279,6 +279,31 @@ def test_line_dedup(spark, docs, empty):
     assert lines.dedup(empty).count() == 0
 
 
+def edited(rng, line, n):
+    """``line`` after ``n`` edits at places of its own."""
+    out = list(line)
+    for i in sorted(rng.sample(range(len(line)), n), reverse=True):
+        out[i : i + 1] = rng.choice([[], ["#"], [out[i], "#"]])
+    return "".join(out)
+
+
+def test_long_lines_repeat_in_proportion(spark):
+    rng = random.Random(8)
+    data = []
+    for length in (60, 79, 100, 335, 900, 3000):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(length - 2))
+        base = f"x{base}y"
+        k = length // 20
+        data += [lines.tidy(x) for x in [base] + [edited(rng, base, n) for n in sorted({3, k // 2 + 1, k - 1, k, k + 3, 2 * k}) for _ in range(3)]]
+    near = [[x == y or lines.within(x, y, max(len(x), len(y)) // 20) for y in data] for x in data]
+    assert sum(map(sum, near)) > 3 * len(data)
+    group = list(range(len(data)))
+    for _ in data:
+        group = [min(group[j] for j in range(len(data)) if near[i][j]) for i in range(len(data))]
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.dedup(table(spark, [(i, x, "en", "s") for i, x in enumerate(data)])).collect()}
+    assert got == {i: int(group[i] != i) for i in range(len(data))}
+
+
 def brute_jaccard(data):
     sets = {}
     for d, t, *_ in data:
