@@ -51,7 +51,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lines
 
-    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+    return lines.dedup(table(spark, sf_dir, "documents"), exact_chars=1).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -304,6 +304,12 @@ def test_long_lines_repeat_in_proportion(spark):
     assert got == {i: int(group[i] != i) for i in range(len(data))}
 
 
+def test_short_lines_repeat_if_equal(spark):
+    data = [(1, "Read more\nown text here\n\n\nx", "en", "s"), (2, " Read  more \nRead mora\nx\n", "en", "s"), (3, "読む。\n読む。", "ja", "s")]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in lines.dedup(table(spark, data), exact_chars=1).collect()}
+    assert got == {1: (data[0][1], 0), 2: ("Read mora\n", 2), 3: ("読む。", 1)}
+
+
 def brute_jaccard(data):
     sets = {}
     for d, t, *_ in data:
