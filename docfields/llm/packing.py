@@ -37,10 +37,12 @@ class Encoder:
 
     Texts of Latin script go through ``tiktoken``, loaded with the same vocabulary and split
     pattern (several times faster, same ids; the tests hold both against each other).  Any text
-    with other scripts or with a special token's string goes through ``tokenizers`` itself.
+    with other scripts, with a special token's string or with a white-space run of ``BLANK``
+    characters (``tiktoken`` panics on very long ones) goes through ``tokenizers`` itself.
     """
 
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    BLANK = 100_000
 
     def __init__(self, path: str):
         import re
@@ -56,11 +58,19 @@ class Encoder:
         }
         self.fast = tiktoken.Encoding("same-vocabulary", pat_str=self.SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.other = re.compile("[^\\x00-ɏ‐-‧€]" + "".join("|" + re.escape(s) for s in special))
+        self.blank = re.compile("\\s{1000,}")
+
+    def long_blank(self, text: str) -> bool:
+        return len(text) >= self.BLANK and any(m.end() - m.start() >= self.BLANK for m in self.blank.finditer(text))
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.other.search(text):
-            return np.asarray(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.asarray(self.fast.encode_ordinary(text), dtype="<u4")
+        if not self.other.search(text) and not self.long_blank(text):
+            try:
+                return np.asarray(self.fast.encode_ordinary(text), dtype="<u4")
+            except BaseException as e:  # pyo3's PanicException is no Exception
+                if type(e).__name__ != "PanicException":
+                    raise
+        return np.asarray(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 def cuts(n: int, capacity: int, grain: int) -> list[int]:

@@ -399,6 +399,12 @@ def test_encoder_matches_tokenizers():
         assert encode(t).tolist() == encode.full.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_takes_long_blanks():
+    encode = packing.Encoder(vocabulary())
+    for t in (" " * 1_000_000, "a" + "\n " * 400_000 + "b", " " * 99_999 + "x" * 10):
+        assert encode(t).tolist() == encode.full.encode(t, add_special_tokens=False).ids
+
+
 def test_packing(docs, empty, rows):
     got = packing.pack(docs, vocabulary()).collect()
     encode = packing.Encoder(vocabulary())
