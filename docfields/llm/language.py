@@ -204,20 +204,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = 300, runs_per_language: int = 30_000, most_languages: int = 64, seed: int = 5) -> tuple[Network | None, list[str]]:
-    """A network from at most ``per_language`` documents of each of the ``most_languages`` most frequent languages.
+def sizes(classes: int) -> dict[str, int]:
+    """Hidden units and training steps, growing with the number of classes."""
+    return {"hidden": max(16, classes // 2), "steps": max(1200, 60 * classes)}
+
+
+def fit(docs: DataFrame, per_language: int = 300, runs_per_language: int = 30_000, seed: int = 5) -> tuple[Network | None, list[str]]:
+    """A network from at most ``per_language`` documents of every language outside the held-out fold.
 
     The documents are drawn by hash of their id; at most ``runs_per_language`` runs of letters
     of theirs, drawn at random from their whole texts, are trained on.
     """
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    languages = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
+    languages = [r["lang"] for r in usable.select("lang").distinct().collect()]
     languages.sort()
     if not languages:
         return None, []
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").where(F.col("lang").isin(languages)).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_language)
-    ids = [(r["doc_id"], r["lang"]) for r in chosen.select("doc_id", "lang").collect()]  # bounded: per_language * most_languages
+    chosen = usable.select("doc_id", "lang").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_language)
+    ids = [(r["doc_id"], r["lang"]) for r in chosen.select("doc_id", "lang").collect()]  # bounded: per_language for each language
     side = docs.sparkSession.createDataFrame(ids, "doc_id long, lang string")
     texts = usable.join(F.broadcast(side), ["doc_id", "lang"]).select("doc_id", "lang", "text").collect()
     rng, samples = np.random.default_rng(seed), []
@@ -226,7 +231,7 @@ def fit(docs: DataFrame, per_language: int = 300, runs_per_language: int = 30_00
         if len(runs) > runs_per_language:
             runs = [runs[i] for i in np.sort(rng.choice(len(runs), runs_per_language, replace=False))]
         samples += [(r, k) for r in runs]
-    return (train(samples, len(languages), seed=seed), languages) if samples else (None, [])
+    return (train(samples, len(languages), **sizes(len(languages)), seed=seed), languages) if samples else (None, [])
 
 
 def predict(docs: DataFrame, net: Network | None, languages: list[str]) -> DataFrame:

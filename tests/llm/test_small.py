@@ -76,6 +76,15 @@ def test_language(docs, empty, rows):
     assert language.identify(empty).count() == 0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rows = [(10 * k + i, f"word{chr(97 + k % 26)} {chr(97 + k // 26)}", f"l{k:03}", "s") for k in range(70) for i in range(10)]
+    asked = {}
+    monkeypatch.setattr(language, "train", lambda samples, classes, **sizes: asked.update(sizes, classes=classes, seen={k for _, k in samples}))
+    _, names = language.fit(table(spark, rows))
+    assert names == [f"l{k:03}" for k in range(70)]
+    assert asked["classes"] == 70 and asked["seen"] == set(range(70)) and asked["hidden"] > 16 and asked["steps"] > 1200
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     net = language.Network(3, 4, 1)
