@@ -108,6 +108,7 @@ def near_duplicates(
     blocks = [slice(i, min(i + block_dims, dim)) for i in range(0, dim, block_dims)]
     budget = [(2 - 2 * threshold) * (b.stop - b.start) / dim for b in blocks]
     slack = 1e-5
+    edge = [b + 1e-6 for b in budget]  # a block has a pair up to here, by one expression wherever it is asked
 
     def unit(x: np.ndarray) -> np.ndarray:
         x = x.astype(np.float64)
@@ -116,7 +117,7 @@ def near_duplicates(
 
     def cells_of(x: np.ndarray) -> np.ndarray:
         lead = unit(x) @ turn[:, [b.start for b in blocks]]
-        return np.floor(lead / (np.sqrt(budget) + slack)).astype(np.int64)
+        return np.floor(lead / (np.sqrt(edge) + slack)).astype(np.int64)
 
     def count_cells(batches):
         import pyarrow as pa
@@ -184,8 +185,8 @@ def near_duplicates(
         frame = frame.sort_values("side", kind="stable")
         left = int((frame["side"] == 0).sum())
         x = unit(matrix(frame["x"].tolist(), dtype))
-        turned = (x @ turn).astype(np.float32)
-        part = turned[:, blocks[b]]
+        turned = x @ turn
+        part = turned[:, blocks[b]].astype(np.float32)
         norm = np.einsum("ij,ij->i", part, part)
         n, found = len(x), []
         step = max(1, (1 << 22) // max(1, n))
@@ -201,12 +202,11 @@ def near_duplicates(
                 p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
                 near = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
                 p, q = p[near], q[near]
-                if b:
-                    early = np.zeros(len(p), dtype=bool)
-                    for e in range(b):
-                        d = turned[p, blocks[e]].astype(np.float64) - turned[q, blocks[e]]
-                        early |= np.einsum("ij,ij->i", d, d) <= budget[e]
-                    p, q = p[~early], q[~early]
+                mine = np.ones(len(p), dtype=bool)
+                for e in range(b + 1):  # in this block and in no earlier one
+                    d = turned[p, blocks[e]] - turned[q, blocks[e]]
+                    mine &= (np.einsum("ij,ij->i", d, d) <= edge[e]) == (e == b)
+                p, q = p[mine], q[mine]
                 if len(p):
                     found.append((p, q))
         if not found:

@@ -232,6 +232,25 @@ def test_near_vectors(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_at_a_block_edge_count_once(spark):
+    rng, turn = np.random.default_rng(9), vectors.rotation(64, 7)
+    data = []
+    for i, over in enumerate((-2e-6, 0.0, 5e-7, 2e-6, 5e-6, 9e-6)):
+        u = rng.standard_normal(64)
+        u /= np.linalg.norm(u)
+        v = u.copy()
+        for block, gap in ((0, 0.0125 + over), (1, 0.006)):  # turned within a block to a squared distance
+            at = slice(8 * block, 8 * block + 8)
+            r = np.linalg.norm(u[at])
+            w = rng.standard_normal(8)
+            w -= w @ u[at] / r**2 * u[at]
+            c = 1 - gap / (2 * r**2)
+            v[at] = c * u[at] + np.sqrt(1 - c * c) * r * w / np.linalg.norm(w)
+        data += [(2 * i, (turn @ u).tolist()), (2 * i + 1, (turn @ v).tolist())]
+    got = vectors.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == {i: 1 for i in range(12)}
+
+
 @pytest.mark.parametrize("options", [{}, {"ring_rows": 30, "max_pivots": 5}, {"k": 400}])
 def test_top_k(spark, options):
     rng = np.random.default_rng(4)
