@@ -54,7 +54,13 @@ TOKEN = re.compile(
 )
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+UNSHOWN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+# First parts of names that tell what an element is about or has beside it, not what it is; words that also
+# name the layout around an article.
+TELLING, LAYOUT = frozenset("has with tag category".split()), frozenset("sidebar sidebars".split())
+# Scripts written without spaces: Thai, Lao, Myanmar, Khmer, kana, Han, Yi.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 @dataclass
@@ -74,27 +80,40 @@ class Block:
         return self
 
 
-def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    """Does this element hold menus, adverts, notices, forms, sidebars or comments?"""
+def is_hidden(attributes: str) -> bool:
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), next((v for v in values if v), "")
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and UNSHOWN.search(value):
+            return True
+    return False
+
+
+def is_furniture(tag: str, attributes: str, in_article: bool) -> int:
+    """Does this element hold menus, adverts, notices, forms, sidebars or comments?  1 if it may only be the layout around an article."""
     if tag in FURNITURE or (tag == "header" and not in_article):
-        return True
+        return 2
     if tag in ("html", "body", "article", "main") or not attributes:
-        return False
-    if HIDDEN.search(attributes):
-        return True
+        return 0
+    if is_hidden(attributes):
+        return 2
+    mark = 0
     for name, *values in NAMES.findall(attributes):
         value = next((v for v in values if v), "")
         if name.lower() == "role":
             if value.lower() in ROLES:
-                return True
-        elif any(p.lower() in NAMED for p in PARTS.findall(value)):
-            return True
-    return False
+                return 2
+        else:
+            for word in value.split():
+                parts = [p.lower() for p in PARTS.findall(word)]
+                named = NAMED.intersection(parts)
+                if named and parts[0] not in TELLING:
+                    mark = max(mark, 1 if len(parts) > 1 and named <= LAYOUT else 2)
+    return mark
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order; an element that is never closed ends with its parent."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture so far, link
+    stack: list[tuple[str, int, bool]] = []  # tag, furniture so far, link
     out, now, last, article, articles = [], Block(), 0, 0, 0
 
     def text(upto: int) -> None:
@@ -109,9 +128,9 @@ def blocks(page: str) -> list[Block]:
         now.close()
         if now.words:
             out.append(now)
-        top = stack[-1] if stack else ("", False, False)
+        top = stack[-1] if stack else ("", 0, False)
         inside = any(t in ("article", "main") for t, _, _ in stack)
-        now = Block(furniture=top[1], article=article if inside else 0, heading=any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _, _ in stack))
+        now = Block(furniture=top[1] > 0, article=article if inside else 0, heading=any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _, _ in stack))
 
     for m in TOKEN.finditer(page):
         text(m.start())
@@ -129,9 +148,11 @@ def blocks(page: str) -> list[Block]:
                 depth = max(i for i, (t, _, _) in enumerate(stack) if t == tag)
                 if all(t not in BLOCKS for t, _, _ in stack[depth + 1 :]):
                     del stack[depth:]
-            before = bool(stack and stack[-1][1])
+            before = stack[-1][1] if stack else 0
             inside = any(t in ("article", "main") for t, _, _ in stack)
-            stack.append((tag, before or is_furniture(tag, m[4], inside) or tag in UNSEEN, tag == "a"))
+            if tag in ("article", "main") and not inside and before == 1:
+                before = 0  # it stands in what only the page's layout is named by
+            stack.append((tag, 2 if tag in UNSEEN else max(before, is_furniture(tag, m[4], inside)), tag == "a"))
             if tag in ("article", "main") and not inside:
                 articles += 1
                 article = articles
@@ -143,10 +164,17 @@ def blocks(page: str) -> list[Block]:
 
 
 def classify(found: list[Block], short: int = 12, long: int = 25, low: float = 0.12, high: float = 0.25, links: float = 0.5) -> list[Block]:
-    """Set every block's label to ``good`` or ``bad`` by the two passes."""
-    for b in found:
+    """Set every block's label to ``good`` or ``bad`` by the two passes.
+
+    Where the page's unlinked text has less than half of ``low`` stop words, its language has no
+    list, and length and link density decide; two characters of an unspaced script are a word.
+    """
+    counts = [sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in b.words) for b in found]
+    free = [(c, len(b.words)) for b, c in zip(found, counts) if not b.furniture and 2 * b.linked <= len(b.words)]
+    unlisted = sum(c for c, _ in free) < low / 2 * sum(n for _, n in free)
+    for b, count in zip(found, counts):
         n = len(b.words)
-        stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in b.words) / n
+        stops = count / n
         linked = b.linked / n
         if b.furniture:
             b.label = "bad"
@@ -154,6 +182,9 @@ def classify(found: list[Block], short: int = 12, long: int = 25, low: float = 0
             b.label = "bad" if linked > links and n > 3 and stops < low else "good" if n >= short or b.heading else ""
         elif linked > links:
             b.label = "bad"
+        elif unlisted:
+            size = max(n, len(UNSPACED.findall(b.text)) // 2)
+            b.label = "good" if size >= long or size >= short and linked <= links / 2 else ""
         elif n >= long and stops >= low or n >= short and stops >= high:
             b.label = "good"
         elif n >= short and stops < low:

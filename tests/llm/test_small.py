@@ -58,6 +58,24 @@ def test_html():
     assert html.main_text("<script>var a = '</p>'") == ""
 
 
+def test_html_wrappers_and_hidden():
+    body = "<article><p>one two three four five six seven eight nine ten eleven twelve</p></article>"
+    for name in ("content-area has-sidebar", "layout with-sidebar", "post tag-social", "content-sidebar-wrap"):
+        assert html.main_text(f'<div class="{name}">{body}</div>').startswith("one two")
+    for attribute in ('style="overflow:hidden"', 'class="overflow-hidden"', 'aria-hidden="false"'):
+        assert html.main_text(f"<div {attribute}>{body}</div>").startswith("one two")
+    for attribute in ("hidden", 'aria-hidden="true"', 'style="color:red; display: none"', 'class="sidebar"', 'class="comments-area"', 'class="has-x comments"'):
+        assert html.main_text(f"<div {attribute}>{body}</div>") == ""
+
+
+def test_html_of_languages_without_stop_words():
+    menu = "<ul><li><a href='/'>Главная</a><li><a href='/n'>Новости</a></ul>"
+    russian = "Сегодня утром жители города увидели первый снег, который выпал намного раньше обычного срока и быстро растаял под ярким солнцем."
+    polish = "Dzisiaj rano mieszkańcy miasta zobaczyli pierwszy śnieg, który spadł znacznie wcześniej niż zwykle, lecz szybko stopniał pod jasnym słońcem."
+    for text in (russian, polish, "今日の朝、町の人々は初めての雪を見ました。いつもよりずっと早く降り、明るい太陽の下ですぐに溶けてしまいました。"):
+        assert html.main_text(f"<div>{menu}<p>{text}</p></div>") == text
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<article><p>a b", "y")], "page_id long, url string, html string, text string")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extract(df).collect()}
