@@ -57,6 +57,17 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def boxed(df: DataFrame, **own: Column) -> DataFrame:
+    """``df`` as one struct column ``doc`` beside columns of our own, whose names then cannot clash with its."""
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("doc"), *[c.alias(name) for name, c in own.items()])
+
+
+def unboxed(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The fields ``columns`` of ``doc``; ``new`` ones replace those of their name or follow."""
+    kept = [new.get(c, F.col("doc").getField(c)).alias(c) for c in columns]
+    return df.select(*kept, *[c.alias(name) for name, c in new.items() if name not in columns])
+
+
 def buckets_for(rows: int) -> int:
     """About the square root of ``rows``, as a power of two.
 
