@@ -1,17 +1,19 @@
-"""Quality classifier: interpolated modified Kneser-Ney character n-gram model of trusted text.
+"""Quality classifier: interpolated modified Kneser-Ney n-gram model of trusted text, over whole code points.
 
-Trusted documents are those labelled good and not toxic.  Four in five of them are counted, the
+Trusted documents are those labelled good and not toxic, all of them.  Four in five are counted, the
 fifth sets the thresholds, so these are not flattered by text the model has seen.
 
-1. Code points: the ``SYMBOLS`` - 4 most frequent of the corpus have a symbol each, all others
-   share four (capital, letter, digit, other).
-2. Counts: 4-grams of symbols are counted in every task and summed by gram, sharded over the
-   cluster.  Lower orders are continuation counts: distinct left neighbours.  Discounts come
-   from the counts of counts; each order's probabilities are a join of its counts with its
-   contexts' sums and with the probabilities of the order below.
-3. The joined table has at most ``SYMBOLS`` ** 4 rows whatever the corpus, so it is sent to the
-   tasks whole, where unseen grams back off.  Every document's whole text is scored in one pass.
-4. A document's score is its negative log probability for each character, drawn towards its
+1. ``packed``: documents are dealt to blocks of about ``BLOCK`` bytes by a hash of doc_id and travel
+   compressed.  Labels are dealt alike, so trusted documents are known where their texts are.
+2. ``gathered``: every block counts the ``ORDER``-grams of its trusted documents, each gram with its
+   context and its suffix, and lists the distinct grams of all its documents.  Grams are 64-bit
+   hashes of code points; none is folded into another.
+3. ``kneser_ney``: counts are summed by gram, sharded over the cluster.  Lower orders are
+   continuation counts.  Discounts come from the counts of counts; each order's probabilities are a
+   join of its counts with its contexts' sums and with the order below.
+4. The grams that blocks ask for are joined with the model, sharded by gram; the answers go back to
+   the blocks by a second join, where unseen grams back off and every whole text is scored.
+5. A document's score is its negative log probability for each character, drawn towards its
    language's mean as by ``PRIOR`` further characters, so short texts need more evidence.  It
    is rejected above its language's ``quantile`` of the held-back trusted documents' scores
    (plus two standard errors of their mean, which matters where they are few).
@@ -19,32 +21,26 @@ fifth sets the thresholds, so these are not flattered by text the model has seen
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, per_process, segments, small_side
+from .common import drop_written, materialize, per_process, segments, small_side
+from .jaccard import mixed
 
-SYMBOLS, ORDER = 64, 4
+ORDER = 5
 PRIOR = 200
-START = 10  # a text begins as after a line's end
-
-
-def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, lang, text, check): documents with a good label and no toxic or bad one."""
-    good = good_ids(labels)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language().alias("lang"), "text").where("text is not null and text <> ''")
-    # by sorting at every size: the set of good documents grows with the corpus
-    return rows.join(good.hint("merge"), "doc_id", "left_semi").withColumn("check", held_back(F.col("doc_id")))
+START = 10  # a text begins as after line ends
+BLOCK = 1 << 24
+RADIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def good_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id, check): documents with a good label and no toxic or bad one; are they held back?"""
     return (
         labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
-        .where("q = 1 and coalesce(t, 0) = 0").select("doc_id")
+        .where("q = 1 and coalesce(t, 0) = 0").select("doc_id", held_back(F.col("doc_id")).alias("check"))
     )
 
 
@@ -56,6 +52,9 @@ def language() -> Column:
     return F.coalesce("lang", F.lit("und"))
 
 
+# ------------------------------------------------------------------------ grams
+
+
 def points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(code points, index of the first byte of each) of valid UTF-8 bytes."""
     lead = (data & 0xC0) != 0x80
@@ -71,145 +70,250 @@ def points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code.astype(np.int64), at
 
 
-def symbol_table(frequent: list[int]) -> np.ndarray:
-    """Code point -> symbol."""
-    import sys
-    import unicodedata
-
-    table = np.full(sys.maxunicode + 1, SYMBOLS - 1, np.uint8)
-    for c in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(c))
-        if kind[0] == "L":
-            table[c] = SYMBOLS - 4 if kind in ("Lu", "Lt") else SYMBOLS - 3
-        elif kind[0] == "N":
-            table[c] = SYMBOLS - 2
-    table[frequent] = np.arange(len(frequent), dtype=np.uint8)
-    return table
-
-
-def grams(data: np.ndarray, starts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(gram of every character, index of each row's first character); rows begin after line ends."""
-    code, at = points(data)
-    begin = np.searchsorted(at, starts)
-    sym = table[code].astype(np.int64)
-    gram, n = sym.copy(), len(sym)
-    edge = int(table[START])
-    place = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
-    for k in range(1, ORDER):
-        left = np.full(n, edge)
-        left[k:] = sym[:-k] if k < n else left[k:]
-        gram += np.where(place >= k, left, edge) * SYMBOLS**k
-    return gram, begin
-
-
-def count_points(rows: DataFrame) -> DataFrame:
-    def run(batches):
-        import pyarrow as pa
+class Hashes:
+    """Hashes of the grams of a run of texts; each text begins after ``ORDER`` - 1 line ends."""
 
-        total = np.zeros(1, np.int64)
-        for batch in batches:
-            for *_, data, _, _ in segments(batch.column(0)):
-                n = np.bincount(points(data)[0])
-                if len(n) > len(total):
-                    total = np.concatenate((total, np.zeros(len(n) - len(total), np.int64)))
-                total[: len(n)] += n
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["code", "n"])
+    def __init__(self):
+        import sys
+
+        self.value = mixed(np.arange(sys.maxunicode + 1, dtype=np.uint64))
+        self.power = np.array([pow(int(RADIX), j, 1 << 64) for j in range(ORDER)], np.uint64)
+        self.slot = np.empty(1 << 22, np.int32)
+
+    def read(self, data: np.ndarray, starts: np.ndarray) -> None:
+        code, at = points(data)
+        begin = np.searchsorted(at, starts)
+        self.size = np.diff(np.append(begin, len(code)))
+        self.row = np.repeat(np.arange(len(self.size)), self.size)
+        self.values = self.value[np.insert(code, np.repeat(begin, ORDER - 1), START)]
+        self.where = np.arange(len(code)) + (ORDER - 1) * (self.row + 1)
+
+    def whole(self) -> np.ndarray:
+        """Hash of the longest gram that ends at every character."""
+        total = self.values.copy()
+        for j in range(1, ORDER):
+            total[j:] += self.values[:-j] * self.power[j]
+        return self.finished(total[self.where], ORDER)
+
+    def at(self, places: np.ndarray, order: int) -> np.ndarray:
+        """Hash of the gram of ``order`` characters that ends at each of ``places``; the empty gram is 0."""
+        total = np.zeros(len(places), np.uint64)
+        for j in range(order):
+            total += self.values[places - j] * self.power[j]
+        return self.finished(total, order) if order else total
+
+    @staticmethod
+    def finished(x: np.ndarray, order: int) -> np.ndarray:
+        x = x ^ np.uint64(order)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        return x
+
+    def distinct(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of one of each distinct value, number of every value among these)."""
+        index = np.arange(len(x), dtype=np.int32)
+        slot = (x >> np.uint64(42)).astype(np.int32)
+        self.slot[slot] = index
+        first = self.slot[slot]
+        rest = np.flatnonzero(x[first] != x)
+        if len(rest):
+            _, one, number = np.unique(x[rest], return_index=True, return_inverse=True)
+            first[rest] = rest[one][number]
+        own = first == index
+        return np.flatnonzero(own), (np.cumsum(own, dtype=np.int32) - 1)[first]
+
+
+def hashes() -> Hashes:
+    return per_process("grams", Hashes)
 
-    return rows.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
+# ----------------------------------------------------------------------- blocks
 
-def count_grams(rows: DataFrame, frequent: list[int]) -> DataFrame:
-    """(gram, c): how often every 4-gram of symbols occurs."""
+
+def packed(docs: DataFrame, blocks: int, flush: int = BLOCK) -> DataFrame:
+    """(block, rows): documents as compressed Arrow tables (doc_id, lang, row, text)."""
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
+
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        held, size = [], 0
+
+        def chunk():
+            table = pa.Table.from_batches(held).combine_chunks().sort_by("block")
+            ids, counts = np.unique(table["block"].to_numpy(), return_counts=True)
+            cells, at = [], 0
+            for n in counts.tolist():
+                sink = pa.BufferOutputStream()
+                part = table.slice(at, n).drop_columns(["block"])
+                with pa.ipc.new_stream(sink, part.schema, options=options) as out:
+                    out.write_table(part)
+                cells.append(sink.getvalue().to_pybytes())
+                at += n
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cells, pa.binary())], names=["block", "rows"])
 
-        table = per_process("symbols", lambda: symbol_table(frequent), str(frequent))
-        total = np.zeros(SYMBOLS**ORDER, np.int32)
         for batch in batches:
-            for *_, data, starts, _ in segments(batch.column(0)):
-                g, n = np.unique(grams(data, starts, table)[0], return_counts=True)
-                total[g] += n.astype(np.int32)
-        seen = np.flatnonzero(total)
-        for lo in range(0, len(seen), 1 << 18):
-            part = seen[lo : lo + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], names=["gram", "c"])
+            batch = batch.set_column(batch.schema.get_field_index("text"), "text", batch["text"].cast(pa.large_string()))
+            held.append(batch)
+            size += pc.sum(pc.binary_length(batch["text"])).as_py() or 0
+            if size > flush:
+                yield chunk()
+                held, size = [], 0
+        if sum(len(x) for x in held):
+            yield chunk()
+
+    block = block_of(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), blocks)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language().alias("lang"), "text")
+    rows = rows.select(block.alias("block"), "doc_id", "lang", F.xxhash64("text").alias("row"), "text")
+    return rows.mapInArrow(run, "block long, rows binary")
+
+
+def block_of(key: Column, blocks: int) -> Column:
+    return F.pmod(key, F.lit(blocks)).cast("long")
 
-    return rows.select("text").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
+def unpacked(cells):
+    import pyarrow as pa
 
-def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For orders 1 to 4: (gram, p) of the seen grams and (context, backoff) of the seen contexts.
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in cells])
+
+
+def gathered(blocks: DataFrame, good: DataFrame) -> DataFrame:
+    """(kind, block, gram, context, suffix, n) of every block.
+
+    Kinds 1 to ``ORDER``: distinct grams of so many characters in trusted documents that are not held
+    back, with n occurrences.  Kind 0: distinct grams of any order in any document.
+    """
 
-    ``counts(gram, c)`` holds the highest order; a gram's suffix is the gram modulo a power of
-    ``SYMBOLS``, its context the gram divided by ``SYMBOLS``.
+    def run(left, right):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out = [[] for _ in range(6)]
+
+        def put(kind, block, gram, context=None, suffix=None, n=None):
+            none = np.zeros(len(gram), np.int64)
+            for column, x in zip(out, (none + kind, none + block, gram.view(np.int64), none if context is None else context.view(np.int64), none if suffix is None else suffix.view(np.int64), none if n is None else n)):
+                column.append(x)
+
+        if left.num_rows:
+            h, block, table = hashes(), left["block"][0].as_py(), unpacked(left["rows"])
+            mine = pc.is_in(table["doc_id"], value_set=right.filter(pc.invert(right["check"]))["doc_id"].combine_chunks())
+            asked, seen = [np.zeros(1, np.uint64)], {k: [] for k in range(1, ORDER + 1)}
+            for train in (True, False):
+                texts = table.filter(mine if train else pc.invert(mine))["text"].combine_chunks()
+                for *_, data, starts, _ in segments(texts):
+                    h.read(data, starts)
+                    x = h.whole()
+                    one, number = h.distinct(x)
+                    place = h.where[one]
+                    grams = [h.at(place, k) for k in range(1, ORDER)] + [x[one]]
+                    before = [h.at(place - 1, k) for k in range(ORDER)]
+                    asked += [np.unique(np.concatenate(grams + before[1:]))]
+                    if train:
+                        for k in range(1, ORDER + 1):
+                            n = np.bincount(number, minlength=len(one)) if k == ORDER else np.ones(len(one), np.int64)
+                            suffix = grams[k - 2] if k > 1 else np.zeros(len(one), np.uint64)
+                            _, first, again = np.unique(grams[k - 1], return_index=True, return_inverse=True)
+                            seen[k].append((grams[k - 1][first], before[k - 1][first], suffix[first], np.bincount(again, n).astype(np.int64)))
+            for k, parts in seen.items():
+                if parts:
+                    gram, context, suffix, n = (np.concatenate(z) for z in zip(*parts))
+                    _, first, again = np.unique(gram, return_index=True, return_inverse=True)
+                    put(k, block, gram[first], context[first], suffix[first], np.bincount(again, n).astype(np.int64))
+            put(0, block, np.unique(np.concatenate(asked)))
+        columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+        return pa.table([pa.array(x.astype(t)) for x, t in zip(columns, (np.int32, *[np.int64] * 5))], names=["kind", "block", "gram", "context", "suffix", "n"])
+
+    return blocks.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(run, "kind int, block long, gram long, context long, suffix long, n long")
+
+
+# ------------------------------------------------------------------------ model
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(gram, p, backoff): probability of the seen grams after their contexts, and weight of backing off after them.
+
+    ``counts(kind, gram, context, suffix, n)`` may hold a gram several times; the highest kind's n count.
     """
-    tables = [counts]
+    top = counts.where(F.col("kind") == ORDER).groupBy("gram").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("n").alias("c"))
+    tables = {ORDER: materialize(top, "grams")}
     for order in range(ORDER - 1, 0, -1):
-        suffix = (F.col("gram") % F.lit(SYMBOLS**order)).alias("gram")
-        tables.insert(0, materialize(tables[0].select(suffix).groupBy("gram").agg(F.count(F.lit(1)).alias("c")), "grams"))
-    out: list[tuple[DataFrame, DataFrame]] = []
-    for order, table in enumerate(tables, 1):
-        n1, n2, n3, n4 = (max(1, x) for x in table.agg(*[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]).first())
+        follow = tables[order + 1].groupBy(F.col("suffix").alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+        links = counts.where(F.col("kind") == order).groupBy("gram").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"))
+        tables[order] = materialize(links.join(follow, "gram"), "grams")
+    sums = None
+    for order, table in tables.items():
+        one = table.agg(F.lit(order).alias("order"), *[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)], F.count(F.lit(1)).alias("n"))
+        sums = one if sums is None else sums.union(one)
+    found = {r["order"]: r for r in sums.collect()}  # ORDER rows
+    model, lower = None, None
+    for order in range(1, ORDER + 1):
+        r = found[order]
+        n1, n2, n3, n4 = (max(1, r[f"n{k}"]) for k in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2)
-        d1, d2, d3 = (max(0.05, x) for x in (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3))
+        # of few kinds of gram, as characters are, discounts that come out beyond their counts are held inside
+        d1, d2, d3 = (min(k - 0.05, max(0.05, x)) for k, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
         off = F.when(F.col("c") == 1, F.lit(d1)).when(F.col("c") == 2, F.lit(d2)).otherwise(F.lit(d3))
-        rows = table.withColumn("context", F.floor(F.col("gram") / SYMBOLS)).withColumn("off", F.least(off, F.col("c").cast("double")))
+        rows = tables[order].withColumn("off", off)
         context = rows.groupBy("context").agg(F.sum("c").alias("total"), F.sum("off").alias("off"))
         context = context.select("context", "total", (F.col("off") / F.col("total")).alias("backoff"))
         joined = rows.join(context, "context")
         own = (F.col("c") - F.col("off")) / F.col("total")
         if order == 1:
-            seen = joined.select("gram", (own + F.col("backoff") / F.lit(float(SYMBOLS))).alias("p"))
+            seen = joined.select("gram", (own + F.col("backoff") / F.lit(float(r["n"] + 1))).alias("p"))
         else:
-            lower = out[-1][0].select(F.col("gram").alias("_suffix"), F.col("p").alias("_p"))
-            seen = joined.join(lower, F.col("gram") % F.lit(SYMBOLS ** (order - 1)) == F.col("_suffix"))
-            seen = seen.select("gram", (own + F.col("backoff") * F.col("_p")).alias("p"))
-        out.append((materialize(seen, "kn"), materialize(context.select("context", "backoff"), "kn")))
-    return out
-
-
-def whole_table(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Negative log probability of every gram: seen ones as joined, others by backing off."""
-    p = np.full(1, 1.0 / SYMBOLS, np.float32)
-    for order, (gram, seen, context, backoff) in enumerate(parts, 1):
-        weight = np.ones(SYMBOLS ** (order - 1), np.float32)
-        weight[context] = backoff
-        below = p.reshape(1, -1) if order > 1 else np.full((1, SYMBOLS), p[0], np.float32)
-        p = (weight.reshape(-1, below.size // SYMBOLS, 1) * below.reshape(1, -1, SYMBOLS)).reshape(-1)
-        p[gram] = seen
-    np.log(p, out=p)
-    return np.negative(p, out=p)
-
-
-def score(docs: DataFrame, frequent: list[int], model) -> DataFrame:
-    """Adds n_symbols and nll, the summed negative log probability, to (doc_id, lang, text) rows; keeps the other columns but text."""
-    tag = uuid.uuid4().hex
+            below = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below"))
+            seen = joined.join(below, "suffix").select("gram", (own + F.col("backoff") * F.col("below")).alias("p"))
+        lower = materialize(seen, "kn")
+        both = lower.select("gram", "p", F.lit(None).cast("double").alias("backoff")).union(context.select("context", F.lit(None).cast("double"), "backoff"))
+        model = both if model is None else model.union(both)
+    unseen = model.sparkSession.range(1).select(F.lit(-1).cast("long"), F.lit(1 / (found[1]["n"] + 1)), F.lit(None).cast("double"))
+    return model.union(unseen).groupBy("gram").agg(F.max("p").alias("p"), F.max("backoff").alias("backoff"))
 
-    def run(batches):
+
+def score(blocks: DataFrame, answers: DataFrame, unseen: float) -> DataFrame:
+    """(doc_id, lang, row, n_symbols, nll): length and summed negative log probability of every document.
+
+    ``answers(block, gram, p, backoff)`` holds what the model knows of the block's grams; ``unseen`` is the
+    probability of any character to a model that knows none.
+    """
+
+    def run(left, right):
         import pyarrow as pa
 
-        table, cost = per_process("n-gram model", lambda: (symbol_table(frequent), whole_table(model.value)), tag)
-        for batch in batches:
-            n, total = [], []
-            for first, last, data, starts, _ in segments(batch.column(0)):
-                g, begin = grams(data, starts, table)
-                size = np.diff(np.append(begin, len(g)))
-                sums = np.zeros(last - first)
-                if len(g):
-                    some = size > 0
-                    sums[some] = np.add.reduceat(cost[g].astype(np.float64), begin[some])
-                n.append(size), total.append(sums)
-            n = np.concatenate(n) if n else np.zeros(0, np.int64)
-            total = np.concatenate(total) if total else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=[*batch.schema.names[1:], "n_symbols", "nll"]
-            )
-
-    others = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema.fields)
-    return docs.select("text", *others).mapInArrow(run, f"{schema}, n_symbols long, nll double")
+        if not left.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())], names=["doc_id", "lang", "row", "n_symbols", "nll"])
+        h, table = hashes(), unpacked(left["rows"])
+        key = right["gram"].to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(key)
+        key = np.append(key[order], np.uint64(2**64 - 1))
+        p, backoff = (np.append(right[c].to_numpy()[order].astype(np.float64), np.nan) for c in ("p", "backoff"))
+
+        def known(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(key[:-1], x)
+            return np.where(key[at] == x, of[at], np.nan)
+
+        sizes, sums = [], []
+        for first, last, data, starts, _ in segments(table["text"].combine_chunks()):
+            h.read(data, starts)
+            total = np.zeros(last - first)
+            if len(h.where):
+                x = h.whole()
+                one, number = h.distinct(x)
+                place, cost = h.where[one], np.full(len(one), unseen)
+                for k in range(1, ORDER + 1):
+                    seen, weight = known(x[one] if k == ORDER else h.at(place, k), p), known(h.at(place - 1, k - 1), backoff)
+                    cost = np.where(np.isnan(seen), np.where(np.isnan(weight), 1.0, weight) * cost, seen)
+                total = np.bincount(h.row, -np.log(cost)[number], last - first)
+            sizes.append(h.size), sums.append(total)
+        n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        nll = np.concatenate(sums) if sums else np.zeros(0)
+        return pa.table([table["doc_id"], table["lang"].cast(pa.string()), table["row"], pa.array(n, pa.int64()), pa.array(nll)], names=["doc_id", "lang", "row", "n_symbols", "nll"])
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, lang string, row long, n_symbols long, nll double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985) -> DataFrame:
@@ -220,26 +324,27 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985) -> Dat
     null or empty text has perplexity 1, its language's mean as score, and is kept; repeated
     rows are judged alike; a null doc_id stays null; an empty table gives no rows; other
     columns are ignored.  ``row`` is a hash of the text that tells rows of one doc_id apart.
+    A block is held in one task, so a text of many gigabytes needs an executor of some times its size.
     """
-    spark = docs.sparkSession
-    good = trusted(docs, labels)
-    frequent = [r["code"] for r in count_points(docs).orderBy(F.desc("n"), "code").limit(SYMBOLS - 4).collect()]
-    frequent = frequent if START in frequent or not frequent else [*frequent[: SYMBOLS - 5], START]
-    rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), language().alias("lang"), F.xxhash64("text").alias("row"))
-    grams_seen = materialize(count_grams(good.where("not check"), frequent), "grams") if frequent else None
-    if grams_seen is None or grams_seen.isEmpty():
-        return rows.select("doc_id", "lang", "row", F.length("text").cast("long").alias("n_symbols"), *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "score", "threshold")], F.lit(True).alias("keep"))
-    parts = []
-    for seen, context in kneser_ney(grams_seen):
-        s, c = seen.toPandas(), context.toPandas()  # at most SYMBOLS ** 4 rows by construction
-        parts.append((s["gram"].to_numpy(), s["p"].to_numpy(np.float32), c["context"].to_numpy(), c["backoff"].to_numpy(np.float32)))
-    model = spark.sparkContext.broadcast(parts)
-    scored = materialize(score(rows, frequent, model), "scored")
-    ids = good_ids(labels).where(held_back(F.col("doc_id")))
-    held = materialize(scored.join(ids, "doc_id", "left_semi").where("n_symbols > 0"), "held-back")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // BLOCK))
+    good = good_ids(labels)
+    blocks = packed(docs, n)
+    dealt = good.withColumn("block", block_of(F.xxhash64("doc_id"), n))
+    found = materialize(gathered(blocks, dealt), "gathered")
+    counts = found.where("kind > 0")
+    if counts.isEmpty():
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language().alias("lang"), F.xxhash64("text").alias("row"), F.length("text").cast("long").alias("n_symbols"))
+        return rows.select("*", *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "score", "threshold")], F.lit(True).alias("keep"))
+    model = materialize(kneser_ney(counts), "kn-model")
+    unseen = model.where("gram = -1").first()["p"]
+    answers = found.where("kind = 0").select("block", "gram").join(model.hint("merge"), "gram").select("block", "gram", "p", "backoff")
+    scored = materialize(score(blocks, answers, unseen), "scored")
+    drop_written(found)
+    held = materialize(scored.join(good.where("check").select("doc_id"), "doc_id", "left_semi").where("n_symbols > 0"), "held-back", small=True)
     mean = small_side(held.groupBy("lang").agg((F.sum("nll") / F.sum("n_symbols")).alias("mean")))
     all_mean = held.agg((F.sum("nll") / F.sum("n_symbols")).alias("m")).first()["m"]
-    all_mean = float(all_mean if all_mean is not None else np.log(SYMBOLS))
+    all_mean = float(all_mean if all_mean is not None else -np.log(unseen))
 
     def drawn(df: DataFrame) -> DataFrame:
         df = df.join(mean, "lang", "left").withColumn("mean", F.coalesce("mean", F.lit(all_mean)))

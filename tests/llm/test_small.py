@@ -167,52 +167,71 @@ def test_split_tree_deals_every_block_once(spark):
     assert totals.max() - totals.min() <= 3 and all((np.diff(v) >= 0).all() for v in got.values())
 
 
-def brute_kn(texts, table):
+def brute_kn(texts):
+    """Negative log probabilities of a text's characters by the definition, over 5 orders."""
     from collections import Counter
 
-    c = [None, Counter(), Counter(), Counter(), Counter()]
+    top = quality.ORDER
+    c = [Counter() for _ in range(top + 1)]
     for t in texts:
-        s = [int(table[10])] * 3 + [int(table[ord(x)]) for x in t]
-        c[4].update(tuple(s[i : i + 4]) for i in range(len(s) - 3))
-    for n in (3, 2, 1):
+        x = "\n" * (top - 1) + t
+        c[top].update(x[i : i + top] for i in range(len(x) - top + 1))
+    for n in range(top - 1, 0, -1):
         for g in c[n + 1]:
             c[n][g[1:]] += 1
     d = [None]
-    for n in (1, 2, 3, 4):
+    for n in range(1, top + 1):
         k = [max(1, sum(v == i for v in c[n].values())) for i in (1, 2, 3, 4)]
         y = k[0] / (k[0] + 2 * k[1])
-        d.append([0] + [max(0.05, x) for x in (1 - 2 * y * k[1] / k[0], 2 - 3 * y * k[2] / k[1], 3 - 4 * y * k[3] / k[2])])
+        d.append([0] + [min(i - 0.05, max(0.05, x)) for i, x in ((1, 1 - 2 * y * k[1] / k[0]), (2, 2 - 3 * y * k[2] / k[1]), (3, 3 - 4 * y * k[3] / k[2]))])
 
     def p(g):
         if not g:
-            return 1 / 64
+            return 1 / (len(c[1]) + 1)
         n, low = len(g), p(g[1:])
         same = {h: v for h, v in c[n].items() if h[:-1] == g[:-1]}
         if not same:
             return low
-        total, off = sum(same.values()), sum(min(d[n][min(v, 3)], v) for v in same.values())
+        total, off = sum(same.values()), sum(d[n][min(v, 3)] for v in same.values())
         v = same.get(g, 0)
-        return (v - min(d[n][min(v, 3)], v)) / total + off / total * low
+        return (v - d[n][min(v, 3)]) / total + off / total * low
 
-    return p
+    return lambda t: -sum(np.log(p(("\n" * (top - 1) + t)[i : i + top])) for i in range(len(t)))
 
 
 def test_kneser_ney_against_definition(spark):
-    texts = ["abab abc\ncab", "bca abba", "aab"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    frequent = [ord(x) for x in "ab c\n"]
-    parts = []
-    for seen, context in quality.kneser_ney(quality.count_grams(df, frequent)):
-        s, c = seen.toPandas(), context.toPandas()
-        parts.append((s["gram"].to_numpy(), s["p"].to_numpy(np.float32), c["context"].to_numpy(), c["backoff"].to_numpy(np.float32)))
-    cost = quality.whole_table(parts)
-    p = brute_kn(texts, quality.symbol_table(frequent))
-    rng = random.Random(1)
-    for _ in range(200):
-        g = tuple(rng.randrange(6) for _ in range(4))
-        i = ((g[0] * 64 + g[1]) * 64 + g[2]) * 64 + g[3]
-        assert abs(np.exp(-cost[i]) - p(g)) < 1e-5
-    assert abs(np.exp(-cost[:64].astype(float)).sum() - 1) < 1e-3
+    texts = ["abab abc\ncab", "bca abba", "aab", "яблоко и яблоки", "漢字かな漢字", "né né né"]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)] + [(9, t, "en", "s") for t in ("abba яблок", "漢字 né", "zzz", "", None, "cab\nabc")] + [(None, "aab", None, None)]
+    docs = table(spark, rows)
+    blocks = quality.packed(docs, 3)
+    good = spark.createDataFrame([(i, False) for i in range(len(texts))] + [(9, True)], "doc_id long, check boolean")
+    found = quality.gathered(blocks, good.withColumn("block", quality.block_of(F.xxhash64("doc_id"), 3)))
+    model = quality.kneser_ney(found.where("kind > 0"))
+    answers = found.where("kind = 0").select("block", "gram").join(model, "gram")
+    unseen = model.where("gram = -1").first()["p"]
+    nll = brute_kn(texts)
+    got = sorted((r["n_symbols"], round(r["nll"], 6)) for r in quality.score(blocks, answers, unseen).collect())
+    assert got == sorted((len(t or ""), round(nll(t or ""), 6)) for _, t, _, _ in rows)
+
+
+def test_quality_of_other_scripts(spark):
+    rng = random.Random(4)
+    data, good = [], []
+    for lang, letters in (("en", "etaoinshr"), ("ru", "оеаинтсрв"), ("zh", "的一是不了人我在有他")):
+        lexicon = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 4))) for _ in range(40)]
+        for _ in range(120):
+            words_of = [rng.choice(lexicon) for _ in range(60)]
+            data.append((len(data), ("" if lang == "zh" else " ").join(words_of), lang, "s"))
+            good.append((len(data) - 1, 1, 0))
+        for _ in range(12):
+            garbled = list(data[rng.randrange(len(data) - 100, len(data))][1])
+            rng.shuffle(garbled)
+            data.append((10_000 + len(data), "".join(garbled), lang, "s"))
+    kept = {r["doc_id"]: r["keep"] for r in quality.classify(table(spark, data), spark.createDataFrame(good, "doc_id long, quality int, toxic int")).collect()}
+    for lang in ("en", "ru", "zh"):
+        own = [d for d in data if d[2] == lang]
+        assert sum(kept[i] for i, *_ in own if i < 10_000) >= 112
+        assert sum(not kept[i] for i, *_ in own if i >= 10_000) >= 11, lang
 
 
 def test_quality(spark, docs, empty, rows):
