@@ -6,7 +6,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -57,6 +57,68 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that no plan needs any more.
+
+    Spark deletes them when the driver's JVM finds their plans unreachable, and a driver with little to
+    do may not look for a long time; the executors' disks fill meanwhile.
+    """
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def contracted(edges: DataFrame, room: int = 1 << 22) -> DataFrame:
+    """(u, v): the components that edges (u, v) of one partition make by themselves, as stars around their least vertices.
+
+    After every ``room`` edges the stars so far are what goes on, so a partition of any size fits.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def stars(parts):
+            names, at = np.unique(np.concatenate(parts), return_inverse=True)
+            a, b = at.reshape(-1, 2).T
+            root = forest(a, b, len(names))
+            out = np.flatnonzero(root != np.arange(len(names)))
+            return np.stack((names[out], names[root[out]]), axis=1)
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], axis=1))
+            size += len(batch)
+            if size > room:
+                held = [stars(held)]
+                if len(held[0]) * 2 > room:  # they hold together already
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][:, k].copy()) for k in (0, 1)], names=["u", "v"])
+                    held = []
+                size = sum(map(len, held))
+        if size:
+            last = stars(held)
+            yield pa.RecordBatch.from_arrays([pa.array(last[:, k].copy()) for k in (0, 1)], names=["u", "v"])
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
+
+def forest(a, b, n: int):
+    """Smallest index reachable from every index 0..n-1 by the links (a, b)."""
+    import numpy as np
+
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def boxed(df: DataFrame, **own: Column) -> DataFrame:
     """``df`` as one struct column ``doc`` beside columns of our own, whose names then cannot clash with its."""
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("doc"), *[c.alias(name) for name, c in own.items()])
@@ -124,16 +186,23 @@ def two_level_rank(df: DataFrame, key: str, rows: int, order: list[str], name: s
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row (id, component_id) per vertex that has an edge.
 
-    ``component_id`` is the smallest reachable id.  Alternating large-star and small-star
-    rounds: every round is two shuffles of the shrinking edge table, hot vertices are
-    pre-aggregated by ``min`` and never collected, and the number of rounds grows with
-    the logarithm of the component size.  Each round is written to the shared folder.
+    ``component_id`` is the smallest reachable id.  Every partition first replaces its edges by
+    the stars they make; then alternating large-star and small-star rounds, each two shuffles of the
+    shrinking edge table.  Hot vertices are pre-aggregated by ``min`` and never collected, and the
+    number of rounds grows with the logarithm of the component size.  Each round is written to
+    the shared folder; a round that changes nothing is the last.
     """
-    cur = materialize(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", small=True
-    )
-    last = None
+
+    def written(df: DataFrame) -> tuple[DataFrame, tuple]:
+        few = df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
+        seen = Observation()
+        new = materialize(contracted(few).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+        return new, (seen.get["n"], seen.get["h"])
+
+    cur, last = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     for _ in range(max_rounds):
+        if not last[0]:
+            break
         # large star: every larger neighbour of u links to the smallest of u and its neighbours
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -147,10 +216,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .union(low.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct()
         )
-        new = materialize(small, "edges", small=True)
-        sign = tuple(
-            new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        )
+        new, sign = written(small)
         drop_written(cur)
         cur = new
         if sign == last:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, per_process, segments
+from .common import components, drop_written, materialize, per_process, release, segments
 
 SHINGLE = 5
 MIX1, MIX2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -181,7 +181,7 @@ def may_link(n1: int, b1: np.ndarray, n2: int, b2: np.ndarray) -> bool:
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, cid, bits): size, digest and parity bitmap of every document's set; null digest if empty."""
+    """(doc_id, row, n, cid, bits): hash of the text; size, digest and parity bitmap of every document's set; null digest if empty."""
 
     def run(batches):
         import pyarrow as pa
@@ -189,16 +189,17 @@ def set_table(docs: DataFrame) -> DataFrame:
         hasher = per_process("shingles", WordHasher)
         for batch in batches:
             n, cid, bits = [], [], []
-            for h in hasher.sets(batch.column(1)):
+            for h in hasher.sets(batch.column(2)):
                 n.append(len(h))
                 cid.append(digest_of(h) if len(h) else None)
                 bits.append(bitmap(h) if len(h) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(bits, pa.binary())],
-                names=["doc_id", "n", "cid", "bits"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(bits, pa.binary())],
+                names=["doc_id", "row", "n", "cid", "bits"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, cid long, bits binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
+    return rows.mapInArrow(run, "doc_id long, row long, n long, cid long, bits binary")
 
 
 def tiles(docs: DataFrame, border: list[int], buckets: int, flush: int = 1 << 20) -> DataFrame:
@@ -394,11 +395,12 @@ def verified(pairs: DataFrame, docs: DataFrame, meta: DataFrame, broadcast_rows:
     two = meta.select(F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("b2"))
     close = pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "b1", "n2", "b2")
     close = materialize(close.mapInArrow(bounded, "a long, b long"), "pairs", small=True)
-    needed = close.select(F.col("a").alias("cid")).union(close.select("b")).distinct().join(meta, "cid").select("cid", F.col("rep").alias("doc_id"))
+    needed = close.select(F.col("a").alias("cid")).union(close.select("b")).distinct().join(meta, "cid").select("cid", F.col("place.doc_id").alias("d"), F.col("place.row").alias("r"))
     needed = materialize(needed, "needed", small=True)
     # few documents take part as a rule; beyond that the texts are shuffled instead
     side = F.broadcast(needed) if needed.count() <= broadcast_rows else needed
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id").select("cid", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    texts = texts.join(side, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("cid", "text")
 
     def arrays(batches):
         import pyarrow as pa
@@ -407,12 +409,12 @@ def verified(pairs: DataFrame, docs: DataFrame, meta: DataFrame, broadcast_rows:
         for batch in batches:
             cids, sets = [], []
             for c, h in zip(batch.column(0).to_pylist(), hasher.sets(batch.column(1))):
-                if len(h) and digest_of(h) == c:  # a repeated doc_id may hold another text
+                if len(h) and digest_of(h) == c:
                     cids.append(c), sets.append(h.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "h"])
 
-    whole = materialize(texts.mapInArrow(arrays, "cid long, h binary"), "arrays")
-    whole = whole.groupBy("cid").agg(F.first("h").alias("h"))
+    # one row a class before the joins, which can then split a class of many pairs
+    whole = materialize(texts.mapInArrow(arrays, "cid long, h binary").groupBy("cid").agg(F.first("h").alias("h")), "arrays")
 
     def intersect(batches):
         import pyarrow as pa
@@ -429,7 +431,9 @@ def verified(pairs: DataFrame, docs: DataFrame, meta: DataFrame, broadcast_rows:
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
     both = close.join(whole.select(F.col("cid").alias("b"), F.col("h").alias("h2")), "b").join(whole.select(F.col("cid").alias("a"), F.col("h").alias("h1")), "a")
-    return materialize(both.select("a", "b", "h1", "h2").mapInArrow(intersect, "a long, b long"), "verified", small=True)
+    found = materialize(both.select("a", "b", "h1", "h2").mapInArrow(intersect, "a long, b long"), "verified", small=True)
+    drop_written(whole)
+    return found
 
 
 def jaccard_components(docs: DataFrame, bucket_bytes: int = 1 << 25) -> DataFrame:
@@ -438,32 +442,30 @@ def jaccard_components(docs: DataFrame, bucket_bytes: int = 1 << 25) -> DataFram
     Documents link when 100 * intersection >= 80 * union of their sets of 5-word shingles; the
     component id is the smallest doc_id reachable by links.  Cases: a null or empty text, or
     one without words, has an empty set and links with nothing; fewer than five words are one
-    shingle; repeated rows have equal sets and so link; a null doc_id is its own null
-    component unless its set occurs elsewhere; an empty table gives no rows; other columns are
-    ignored.  Sets are told apart by 64-bit hashes of shingles and of whole sets.
+    shingle; repeated rows have equal sets and so link; a null doc_id links like any other and takes
+    its component's smallest doc_id, which is null if there is none; an empty table gives no rows;
+    other columns are ignored.  Sets are told apart by 64-bit hashes of shingles and of whole sets.
     """
     sets = materialize(set_table(docs), "sets")
     classes = sets.where("cid is not null").groupBy("cid").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")
+        F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "row")).alias("place"), F.first("n").alias("n"), F.first("bits").alias("bits")
     )
     meta = materialize(classes, "classes")
     longest, total = sets.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     border = bands(longest)
     buckets = max(64, -(-total * 10 // bucket_bytes))
     groups = materialize(tiles(docs, border, buckets), "tiles")
-    links = verified(star_pairs(groups), docs, meta)
+    release(docs.sparkSession)
+    label = components(verified(star_pairs(groups), docs, meta))
     for nearest in (2, None):  # the closest by bit counts connect most of what is left; then whatever remains
-        label = components(links).select(F.col("id").alias("cid"), F.col("component_id").alias("label"))
-        rows = open_rows(groups, label, meta)
+        rows = open_rows(groups, label.select(F.col("id").alias("cid"), F.col("component_id").alias("label")), meta)
         count = rows.count()
         if count:
-            links = links.union(verified(candidates(rows, nearest, max(64, count // 20_000)), docs, meta))
-    reps = meta.select("cid", "rep")
-    edges = (
-        links.join(reps.select(F.col("cid").alias("a"), F.col("rep").alias("u")), "a")
-        .join(reps.select(F.col("cid").alias("b"), F.col("rep").alias("v")), "b")
-        .select(F.col("u").alias("a"), F.col("v").alias("b"))
-    )
-    parts = components(edges).withColumnRenamed("id", "rep")
-    named = meta.select("cid", "rep").join(parts, "rep", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id"))
+            more = verified(candidates(rows, nearest, max(64, count // 20_000)), docs, meta)
+            label = components(label.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more))
+        drop_written(rows)
+    drop_written(groups)
+    named = meta.select("cid", "rep").join(label.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("component_id", "cid"))
+    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = named.select("cid", "label").join(least, "label").select("cid", "component_id")
     return sets.join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

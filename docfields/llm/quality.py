@@ -25,13 +25,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, materialize, per_process, segments, small_side
+from .common import drop_written, materialize, per_process, release, segments, small_side
 from .jaccard import mixed
 
 ORDER = 5
 PRIOR = 200
 START = 10  # a text begins as after line ends
-BLOCK = 1 << 24
+BLOCK = 1 << 25
 RADIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -180,6 +180,13 @@ def unpacked(cells):
     return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in cells])
 
 
+def summed(parts):
+    """(gram, context, suffix, n) of distinct grams from several such."""
+    gram, context, suffix, n = (np.concatenate(z) for z in zip(*parts))
+    _, first, again = np.unique(gram, return_index=True, return_inverse=True)
+    return gram[first], context[first], suffix[first], np.bincount(again, n).astype(np.int64)
+
+
 def gathered(blocks: DataFrame, good: DataFrame) -> DataFrame:
     """(kind, block, gram, context, suffix, n) of every block.
 
@@ -211,18 +218,20 @@ def gathered(blocks: DataFrame, good: DataFrame) -> DataFrame:
                     place = h.where[one]
                     grams = [h.at(place, k) for k in range(1, ORDER)] + [x[one]]
                     before = [h.at(place - 1, k) for k in range(ORDER)]
-                    asked += [np.unique(np.concatenate(grams + before[1:]))]
+                    asked.append(np.unique(np.concatenate(grams + before[1:])))
+                    if sum(map(len, asked)) > 1 << 21:
+                        asked = [np.unique(np.concatenate(asked))]
                     if train:
                         for k in range(1, ORDER + 1):
                             n = np.bincount(number, minlength=len(one)) if k == ORDER else np.ones(len(one), np.int64)
                             suffix = grams[k - 2] if k > 1 else np.zeros(len(one), np.uint64)
                             _, first, again = np.unique(grams[k - 1], return_index=True, return_inverse=True)
                             seen[k].append((grams[k - 1][first], before[k - 1][first], suffix[first], np.bincount(again, n).astype(np.int64)))
+                            if sum(len(x) for x, *_ in seen[k]) > 1 << 20:
+                                seen[k] = [summed(seen[k])]
             for k, parts in seen.items():
                 if parts:
-                    gram, context, suffix, n = (np.concatenate(z) for z in zip(*parts))
-                    _, first, again = np.unique(gram, return_index=True, return_inverse=True)
-                    put(k, block, gram[first], context[first], suffix[first], np.bincount(again, n).astype(np.int64))
+                    put(k, block, *summed(parts))
             put(0, block, np.unique(np.concatenate(asked)))
         columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
         return pa.table([pa.array(x.astype(t)) for x, t in zip(columns, (np.int32, *[np.int64] * 5))], names=["kind", "block", "gram", "context", "suffix", "n"])
@@ -332,6 +341,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985) -> Dat
     blocks = packed(docs, n)
     dealt = good.withColumn("block", block_of(F.xxhash64("doc_id"), n))
     found = materialize(gathered(blocks, dealt), "gathered")
+    release(docs.sparkSession)
     counts = found.where("kind > 0")
     if counts.isEmpty():
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language().alias("lang"), F.xxhash64("text").alias("row"), F.length("text").cast("long").alias("n_symbols"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import components, materialize
+from .common import components, forest, materialize
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -44,20 +44,6 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Smallest index reachable from every index 0..n-1 by the links (a, b)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def near_duplicates(
     table: DataFrame, threshold: float = 0.95, block_dims: int = 8, tile_rows: int = 16384, seed: int = 7
 ) -> DataFrame:

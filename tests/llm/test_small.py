@@ -414,6 +414,15 @@ def test_jaccard(spark, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_through_null_ids(spark):
+    w = [f"w{i}" for i in range(40)]
+    chain = [w, w[:-3], w[:-6], w[:-9]]  # neighbours link, the ends do not
+    data = [(7, " ".join(chain[0]), "en", "s"), (None, " ".join(chain[1]), "en", "s"), (None, " ".join(chain[2]), "en", "s"), (3, " ".join(chain[3]), "en", "s"), (None, "all on its own here", "en", "s")]
+    data += [(20 + i, "one text that very many rows hold", "en", "s") for i in range(300)]
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(table(spark, data)).collect()]
+    assert sorted(got, key=str) == sorted([(7, 3), (None, 3), (None, 3), (3, 3), (None, None)] + [(20 + i, 20) for i in range(300)], key=str)
+
+
 def test_keys_meet_for_all_linked_sets():
     rng = np.random.default_rng(8)
     border = jaccard.bands(4000)
