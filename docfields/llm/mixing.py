@@ -5,17 +5,20 @@ Plan, all of it DataFrame and SQL expressions:
 1. ``sizes``: words of every document, written once (the only pass over the texts).
 2. ``targets``: one row per source, by code point, weights repeating; water-filling under
    the cap of ``cap`` times the source's size.
-3. The mix of a source is a stream of words: its documents in an order permuted by hash,
-   again and again until the target is reached.  The stream is cut into blocks of
-   ``block_words`` words; the number of blocks is the source's exact quota.
-4. ``split_tree``: the vector of quotas is halved level by level down to ``shards`` output
-   shards.  Each halving draws how many blocks of every source go left from the
-   multivariate hypergeometric distribution, so every shard is a fair sample of the mix
-   and no block is lost or used twice.
-5. A shard takes its quota from the source's permuted blocks: disjoint ranges of an affine
-   permutation.  Documents find their words, blocks and shards by arithmetic on the running
-   sum of words, computed in two levels (hash buckets, then inside a bucket), so a source
-   with a third of all rows is never in one task.
+3. A source's documents, in an order permuted by hash, are a stream of words, cut into blocks of
+   at most ``block_words`` words.  The stream is passed again and again; an affine permutation
+   deals out the blocks of each pass.  The source's exact quota is the number of blocks dealt
+   until its target is reached; the last one is cut to the word.
+4. ``split_tree``: the vector of quotas is halved level by level down to the output shards.
+   Each halving draws how many blocks of every source go left from the multivariate
+   hypergeometric distribution, so every shard is a fair sample of the mix and no block is
+   lost or drawn twice.
+5. A shard draws its quota from the source's dealt blocks: disjoint ranges of the permutation.
+   What the leaves of the tree draw is the mix; a document's words are those of its drawn blocks.
+   Documents find blocks and shards by arithmetic on the running sum of words, computed in two
+   levels (hash buckets, then inside a bucket), so a source with a third of all rows is never
+   in one task.
+6. ``mixed_documents`` writes the documents by shard, each shard in a random order of its own.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD_PATTERN, bucket, buckets_for, materialize
+from .common import WORD_PATTERN, boxed, bucket, buckets_for, materialize, unboxed
 
 WEIGHTS = (5, 2, 1)
 SPREAD = 2_654_435_761  # prime; multiplies block numbers in the affine permutation
@@ -39,6 +42,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = 3
 
     Sources below their cap share the words in proportion to weight at one common level; the
     level is the first, by rising cap-to-weight ratio, that no remaining source's cap cuts.
+    The table of sources is handled in one task, here and in ``split_tree``: sources are names of
+    collections, up to some hundred thousand, not of documents.
     """
     w = F.array(*[F.lit(int(x)) for x in weights])
     table = sizes.groupBy("key").agg(F.sum("size").cast("long").alias("source_size"))
@@ -130,72 +135,78 @@ def split_tree(quotas: DataFrame, shards: int, seed: int = 42) -> DataFrame:
     )
 
 
+def shards_for(words: int) -> int:
+    """A power of two: about one shard for every 2 ** 22 words, from 8 to 4096 of them."""
+    return 1 << min(12, max(3, (max(1, words) >> 22).bit_length()))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
     cap: float = 3.0,
     block_words: int = 8192,
-    shards: int = 32,
+    shards: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """One row per document: doc_id, key, size, source_size, target, pieces.
+    """One row per document: doc_id, row, key, size, source_size, target, pieces.
 
     ``pieces`` is an array of (epoch, block, shard, first_word, last_word): the word ranges of
-    the document that the mix takes, each in one block and so in one shard.
+    the document that shards draw, each in one block and so in one shard.  A block has at most
+    ``block_words`` words and at most a 64th of its source.
 
     Cases: a null text has no words; a null source is a source of its own, ordered last; an
     empty table gives no rows; repeated rows are documents of their own; ties of the hash are
-    ordered by doc_id; other columns are ignored.  Reruns on the same rows agree.
+    ordered by doc_id and text; other columns are ignored.  Reruns on the same rows agree.
     """
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
     sizes = materialize(
-        docs.select("doc_id", key.alias("key"), size_of(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h")), "sizes"
+        docs.select("doc_id", F.xxhash64("text").alias("row"), key.alias("key"), size_of(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h")), "sizes"
     )
-    n = buckets_for(sizes.count())
+    count, words = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    n = buckets_for(count)
     sizes = sizes.withColumn("_b", bucket(n, F.col("h")))
     sources = targets(sizes, weights, cap)
-    sources = sources.withColumn("taken", F.least(F.floor(F.col("target") + 0.5), F.floor(F.col("source_size") * cap)).cast("long"))
-    sources = sources.withColumn("quota", F.ceil(F.col("taken") / F.lit(block_words)).cast("long"))
-    sources = sources.join(split_tree(sources.select("key", "quota"), shards, seed), "key")
+    wanted = F.least(F.floor(F.col("target") + 0.5), F.floor(F.col("source_size") * cap)).cast("long")
+    sources = sources.withColumn("wanted", wanted).withColumn("bw", F.greatest(F.lit(1), F.least(F.lit(block_words), F.expr("source_size div 64"))).cast("long"))
+    # blocks of a pass; the short last one and its place in the permutation; words beyond the whole passes
+    sources = sources.selectExpr("*", "cast(ceil(source_size / bw) as bigint) as blocks", "if(source_size = 0, 0L, wanted div source_size) as passes")
+    sources = sources.selectExpr("*", "bw - (source_size - (blocks - 1) * bw) as missing", f"if(blocks = 0, 0L, ((blocks - 1) * {SPREAD}L + {seed}L) % blocks) as short_at", "wanted - passes * source_size as rest")
+    sources = sources.selectExpr("*", "cast(ceil(rest / bw) as bigint) as m0").selectExpr(
+        "*", "if(m0 * bw - if(short_at < m0, missing, 0L) >= rest, m0, cast(ceil((rest + missing) / bw) as bigint)) as m"
+    )
+    sources = sources.selectExpr("*", "passes * blocks + m as quota", "m * bw - if(short_at < m, missing, 0L) - rest as cut")
+    sources = sources.join(split_tree(sources.select("key", "quota"), shards or shards_for(words), seed), "key")
     before = W.partitionBy("key").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     parts = (
         sizes.groupBy("key", "_b").agg(F.sum("size").alias("_words"))
         .withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0)))
         .join(sources, "key")
-        .select("key", "_b", "_before", "source_size", "target", "taken", "quota", "cumulative")
+        .select("key", "_b", "_before", "source_size", "target", "bw", "blocks", "cut", "cumulative")
     )
-    inside = W.partitionBy("key", "_b").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("key", "_b").orderBy("h", "doc_id", "row").rowsBetween(W.unboundedPreceding, -1)
     placed = (
         sizes.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(parts, ["key", "_b"])
         .withColumn("at", F.col("_before") + F.col("_in"))
+        .withColumn("drawn", F.element_at("cumulative", -1))
     )
-    # every pass of the stream over the document, cut at block borders
-    passes = f"""
-    flatten(transform(
-      filter(
-        transform(sequence(0L, if(source_size = 0, 0L, taken div source_size)),
-          e -> named_struct('e', e, 'lo', e * source_size + at, 'hi', least(e * source_size + at + size, taken))),
-        r -> r.lo < r.hi),
-      r -> transform(sequence(r.lo div {block_words}L, (r.hi - 1) div {block_words}L),
-        b -> named_struct(
-          'epoch', r.e, 'block', b,
-          'shard', aggregate(cumulative, 0, (k, c) -> k + if(c <= (b * {SPREAD}L + {seed}L) % quota, 1, 0)),
-          'first_word', greatest(r.lo, b * {block_words}L) - (r.e * source_size + at),
-          'last_word', least(r.hi, (b + 1) * {block_words}L) - (r.e * source_size + at)))))
+    # every pass over the document, block by block: which shard draws it, if any
+    pieces = f"""
+    if(size = 0 or drawn = 0, array(), filter(flatten(transform(
+      sequence(0L, (drawn - 1) div blocks),
+      e -> transform(sequence(at div bw, (at + size - 1) div bw), b -> {let(
+        "p", f"e * blocks + (b * {SPREAD}L + {seed}L) % blocks",
+        """named_struct('epoch', e, 'block', b,
+          'shard', aggregate(cumulative, 0, (k, c) -> k + if(c <= p, 1, 0)),
+          'first_word', greatest(at, b * bw) - at,
+          'last_word', if(p >= drawn, 0L, least(at + size, least((b + 1) * bw, source_size) - if(p = drawn - 1, cut, 0L)) - at))""",
+    )}))), r -> r.first_word < r.last_word))
     """
-    return placed.withColumn("pieces", F.expr(passes)).select("doc_id", "key", "size", "source_size", "target", "pieces")
-
-
-def shuffled(mixed: DataFrame, seed: int = 42) -> DataFrame:
-    """One row per piece, in the shards' own random order: sorted inside partitions by (shard, hash)."""
-    rows = mixed.select("doc_id", "key", F.explode("pieces").alias("p")).select("doc_id", "key", "p.*")
-    order = F.xxhash64(F.lit(seed + 1), "doc_id", "epoch", "block", "first_word")
-    return rows.repartition("shard").sortWithinPartitions("shard", order)
+    return placed.withColumn("pieces", F.expr(pieces)).select("doc_id", "row", "key", "size", "source_size", "target", "pieces")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken, and the number of pieces and of shards they go to."""
+    """Per document: doc_id, size, source_size, target, taken, and the number of pieces and of shards they go to; cases as in :func:`mix`."""
     mixed = mix(docs)
     return mixed.select(
         "doc_id", "size", "source_size", "target",
@@ -205,37 +216,35 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for every pass of the mix over a document.
 
-    A pass that takes the whole document has its text unchanged; the one pass of a source that
-    the target cuts short has the words it takes, joined by single spaces.  n_chars follows.
+    A pass that draws the whole document has its text unchanged; one that draws some of its blocks
+    has their words, joined by single spaces.  n_chars follows.  A pass is written with the shard of
+    its first block; a shard's rows are in the order of a hash, in as many tasks as shuffles have.
+
+    Cases: documents without words are never drawn; null sources and doc_ids are kept; rows that
+    repeat doc_id, source and text pair up with their draws by number; an empty table gives no rows;
+    other columns are kept, whatever their names.
     """
-    size = size_of(F.col("text"))
-    key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    taken = mix(docs, **options).where(F.size("pieces") > 0)
-    # rows that repeat a doc_id pair up by source, size and number
-    same = W.partitionBy("__d", "__k", "__s")
-    taken = (
-        taken.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), F.col("size").alias("__s"), "pieces")
-        .withColumn("__n", F.row_number().over(same.orderBy(F.size("pieces"), F.col("pieces").cast("string"))))
-        .withColumn(
-            "__passes",
-            F.expr(
-                "transform(array_distinct(transform(pieces, p -> p.epoch)), e -> named_struct("
-                "'lo', array_min(transform(filter(pieces, p -> p.epoch = e), p -> p.first_word)), "
-                "'hi', array_max(transform(filter(pieces, p -> p.epoch = e), p -> p.last_word))))"
-            ),
-        )
-        .drop("pieces")
+    mixed = mix(docs, seed=seed, **options).where(F.size("pieces") > 0)
+    same = W.partitionBy("doc_id", "row", "key")
+    passes = """transform(array_distinct(transform(pieces, p -> p.epoch)), e -> named_struct(
+        'epoch', e, 'parts', filter(pieces, p -> p.epoch = e)))"""
+    drawn = mixed.select(
+        F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("key").alias("k"), F.col("size").alias("n"),
+        F.row_number().over(same.orderBy(F.col("pieces").cast("string"))).alias("number"), F.expr(passes).alias("passes"),
     )
-    rows = docs.withColumn("__id", F.col("doc_id")).withColumn("__key", key).withColumn("__size", size)
-    rows = rows.withColumn("__no", F.row_number().over(W.partitionBy("__id", "__key", "__size").orderBy(F.xxhash64("text"))))
-    on = F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")) & (F.col("__size") == F.col("__s")) & (F.col("__no") == F.col("__n"))
-    passes = rows.join(taken.hint("merge"), on).withColumn("__pass", F.explode("__passes"))
-    part = F.expr(rf"array_join(slice(regexp_extract_all(text, r'({WORD_PATTERN})', 1), cast(__pass.lo as int) + 1, cast(__pass.hi - __pass.lo as int)), ' ')")
-    text = F.when((F.col("__pass.lo") == 0) & (F.col("__pass.hi") == F.col("__size")), F.col("text")).otherwise(part)
-    out = passes.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
+    rows = boxed(docs, doc_id=F.col("doc_id"), row=F.xxhash64("text"), key=key)
+    rows = rows.withColumn("no", F.row_number().over(same.orderBy(F.lit(0))))
+    on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")) & (F.col("key") == F.col("k")) & (F.col("no") == F.col("number"))
+    taken = rows.join(drawn.hint("merge"), on).withColumn("pass", F.explode("passes"))
+    words = rf"regexp_extract_all(doc.text, r'({WORD_PATTERN})', 1)"
+    some = F.expr(let("w", words, "array_join(flatten(transform(pass.parts, p -> slice(w, cast(p.first_word as int) + 1, cast(p.last_word - p.first_word as int)))), ' ')"))
+    whole = F.expr("aggregate(pass.parts, 0L, (a, p) -> a + p.last_word - p.first_word)") == F.col("n")
+    taken = taken.withColumn("text", F.when(whole, F.col("doc.text")).otherwise(some)).withColumn("shard", F.expr("pass.parts[0].shard"))
+    order = F.xxhash64(F.lit(seed + 1), "doc_id", "row", "pass.epoch")
+    taken = taken.withColumn("order", order).withColumn("salt", F.pmod("order", F.lit(64)))
+    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {})
+    return unboxed(taken.repartition("shard", "salt").sortWithinPartitions("shard", "order"), docs.columns, **new)

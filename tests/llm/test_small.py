@@ -159,6 +159,31 @@ def test_mixing(docs, empty, rows):
     assert mixing.digest(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_mix_comes_through_its_tree(spark, docs, monkeypatch):
+    mixed = mixing.mix(docs, block_words=64, shards=8).collect()
+    for r in mixed:
+        spans = sorted((p["epoch"], p["first_word"], p["last_word"]) for p in r["pieces"])
+        assert all(0 <= lo < hi <= r["size"] for _, lo, hi in spans)
+        assert all(a[0] < b[0] or a[2] <= b[1] for a, b in zip(spans, spans[1:]))  # no word twice in a pass
+    shards = {p["shard"] for r in mixed for p in r["pieces"]}
+    assert shards == set(range(8))
+    words = sum(p["last_word"] - p["first_word"] for r in mixed for p in r["pieces"])
+    real = mixing.split_tree
+    # a tree whose last shard draws nothing: what the mix takes falls by that shard
+    monkeypatch.setattr(mixing, "split_tree", lambda *a: real(*a).withColumn("cumulative", F.transform("cumulative", lambda x, i: F.when(i < 7, x).otherwise(F.col("cumulative")[6]))))
+    less = sum(p["last_word"] - p["first_word"] for r in mixing.mix(docs, block_words=64, shards=8).collect() for p in r["pieces"])
+    last = sum(p["last_word"] - p["first_word"] for r in mixed for p in r["pieces"] if p["shard"] == 7)
+    assert 0 < last and abs(words - last - less) <= 64 * 6
+
+
+def test_mixed_documents_keep_clashing_columns(spark, docs):
+    names = ["d", "r", "k", "n", "no", "number", "pass", "passes", "shard", "salt", "order", "doc", "pieces", "__d"]
+    wide = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    got = mixing.mixed_documents(wide)
+    assert got.columns == wide.columns and {tuple(r[c] for c in names) for r in got.collect()} == {tuple(range(len(names)))}
+    assert lines.dedup(wide).select(*names).distinct().count() == 1
+
+
 def test_split_tree_deals_every_block_once(spark):
     quotas = spark.createDataFrame([("a", 1000), ("b", 7), ("c", 0), ("d", 333)], "key string, quota long")
     got = {r["key"]: r["cumulative"] for r in mixing.split_tree(quotas, 8).collect()}
