@@ -131,7 +131,7 @@ def hashes() -> Hashes:
 # ----------------------------------------------------------------------- blocks
 
 
-def packed(docs: DataFrame, blocks: int, flush: int = BLOCK) -> DataFrame:
+def packed(docs: DataFrame, blocks: int, flush: int = 1 << 24) -> DataFrame:
     """(block, rows): documents as compressed Arrow tables (doc_id, lang, row, text)."""
 
     def run(batches):
@@ -175,9 +175,11 @@ def block_of(key: Column, blocks: int) -> Column:
 
 
 def unpacked(cells):
+    """The tables of a block one by one; only one of them is held uncompressed."""
     import pyarrow as pa
 
-    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in cells])
+    for x in cells:
+        yield pa.ipc.open_stream(x.as_buffer()).read_all()
 
 
 def summed(parts):
@@ -206,11 +208,17 @@ def gathered(blocks: DataFrame, good: DataFrame) -> DataFrame:
                 column.append(x)
 
         if left.num_rows:
-            h, block, table = hashes(), left["block"][0].as_py(), unpacked(left["rows"])
-            mine = pc.is_in(table["doc_id"], value_set=right.filter(pc.invert(right["check"]))["doc_id"].combine_chunks())
+            h, block = hashes(), left["block"][0].as_py()
+            counted = right.filter(pc.invert(right["check"]))["doc_id"].combine_chunks()
             asked, seen = [np.zeros(1, np.uint64)], {k: [] for k in range(1, ORDER + 1)}
-            for train in (True, False):
-                texts = table.filter(mine if train else pc.invert(mine))["text"].combine_chunks()
+
+            def parts():
+                for table in unpacked(left["rows"]):
+                    mine = pc.is_in(table["doc_id"], value_set=counted)
+                    yield True, table["text"].filter(mine).combine_chunks()
+                    yield False, table["text"].filter(pc.invert(mine)).combine_chunks()
+
+            for train, texts in parts():
                 for *_, data, starts, _ in segments(texts):
                     h.read(data, starts)
                     x = h.whole()
@@ -295,7 +303,7 @@ def score(blocks: DataFrame, answers: DataFrame, unseen: float) -> DataFrame:
 
         if not left.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())], names=["doc_id", "lang", "row", "n_symbols", "nll"])
-        h, table = hashes(), unpacked(left["rows"])
+        h = hashes()
         key = right["gram"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(key)
         key = np.append(key[order], np.uint64(2**64 - 1))
@@ -305,22 +313,24 @@ def score(blocks: DataFrame, answers: DataFrame, unseen: float) -> DataFrame:
             at = np.searchsorted(key[:-1], x)
             return np.where(key[at] == x, of[at], np.nan)
 
-        sizes, sums = [], []
-        for first, last, data, starts, _ in segments(table["text"].combine_chunks()):
-            h.read(data, starts)
-            total = np.zeros(last - first)
-            if len(h.where):
-                x = h.whole()
-                one, number = h.distinct(x)
-                place, cost = h.where[one], np.full(len(one), unseen)
-                for k in range(1, ORDER + 1):
-                    seen, weight = known(x[one] if k == ORDER else h.at(place, k), p), known(h.at(place - 1, k - 1), backoff)
-                    cost = np.where(np.isnan(seen), np.where(np.isnan(weight), 1.0, weight) * cost, seen)
-                total = np.bincount(h.row, -np.log(cost)[number], last - first)
-            sizes.append(h.size), sums.append(total)
-        n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        nll = np.concatenate(sums) if sums else np.zeros(0)
-        return pa.table([table["doc_id"], table["lang"].cast(pa.string()), table["row"], pa.array(n, pa.int64()), pa.array(nll)], names=["doc_id", "lang", "row", "n_symbols", "nll"])
+        out = []
+        for table in unpacked(left["rows"]):
+            sizes, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for first, last, data, starts, _ in segments(table["text"].combine_chunks()):
+                h.read(data, starts)
+                total = np.zeros(last - first)
+                if len(h.where):
+                    x = h.whole()
+                    one, number = h.distinct(x)
+                    place, cost = h.where[one], np.full(len(one), unseen)
+                    for k in range(1, ORDER + 1):
+                        seen, weight = known(x[one] if k == ORDER else h.at(place, k), p), known(h.at(place - 1, k - 1), backoff)
+                        cost = np.where(np.isnan(seen), np.where(np.isnan(weight), 1.0, weight) * cost, seen)
+                    total = np.bincount(h.row, -np.log(cost)[number], last - first)
+                sizes.append(h.size), sums.append(total)
+            columns = [table["doc_id"], table["lang"].cast(pa.string()), table["row"], pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(sums))]
+            out.append(pa.table(columns, names=["doc_id", "lang", "row", "n_symbols", "nll"]))
+        return pa.concat_tables(out)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, lang string, row long, n_symbols long, nll double")
 
@@ -333,7 +343,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985) -> Dat
     null or empty text has perplexity 1, its language's mean as score, and is kept; repeated
     rows are judged alike; a null doc_id stays null; an empty table gives no rows; other
     columns are ignored.  ``row`` is a hash of the text that tells rows of one doc_id apart.
-    A block is held in one task, so a text of many gigabytes needs an executor of some times its size.
+    A text is held in one task, so one of many gigabytes needs an executor of some times its size.
+    Probabilities travel in single precision.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // BLOCK))
@@ -348,7 +359,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985) -> Dat
         return rows.select("*", *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "score", "threshold")], F.lit(True).alias("keep"))
     model = materialize(kneser_ney(counts), "kn-model")
     unseen = model.where("gram = -1").first()["p"]
-    answers = found.where("kind = 0").select("block", "gram").join(model.hint("merge"), "gram").select("block", "gram", "p", "backoff")
+    answers = found.where("kind = 0").select("block", "gram").join(model.hint("merge"), "gram").select(F.col("block"), "gram", F.col("p").cast("float"), F.col("backoff").cast("float"))
     scored = materialize(score(blocks, answers, unseen), "scored")
     drop_written(found)
     held = materialize(scored.join(good.where("check").select("doc_id"), "doc_id", "left_semi").where("n_symbols > 0"), "held-back", small=True)
