@@ -31,7 +31,7 @@ from .jaccard import mixed
 ORDER = 5
 PRIOR = 200
 START = 10  # a text begins as after line ends
-BLOCK = 1 << 25
+BLOCK = 1 << 26
 RADIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -225,15 +225,16 @@ def gathered(blocks: DataFrame, good: DataFrame) -> DataFrame:
                     one, number = h.distinct(x)
                     place = h.where[one]
                     grams = [h.at(place, k) for k in range(1, ORDER)] + [x[one]]
-                    before = [h.at(place - 1, k) for k in range(ORDER)]
-                    asked.append(np.unique(np.concatenate(grams + before[1:])))
-                    if sum(map(len, asked)) > 1 << 21:
+                    # contexts are grams that end one character before, in the list already, or line ends before a text
+                    asked += [x[h.distinct(x)[0]] for x in grams] + [h.at(h.where[:1] - 1, k) for k in range(1, ORDER)]
+                    if sum(map(len, asked)) > 1 << 22:
                         asked = [np.unique(np.concatenate(asked))]
                     if train:
+                        before = [h.at(place - 1, k) for k in range(ORDER)]
                         for k in range(1, ORDER + 1):
                             n = np.bincount(number, minlength=len(one)) if k == ORDER else np.ones(len(one), np.int64)
                             suffix = grams[k - 2] if k > 1 else np.zeros(len(one), np.uint64)
-                            _, first, again = np.unique(grams[k - 1], return_index=True, return_inverse=True)
+                            first, again = h.distinct(grams[k - 1])
                             seen[k].append((grams[k - 1][first], before[k - 1][first], suffix[first], np.bincount(again, n).astype(np.int64)))
                             if sum(len(x) for x, *_ in seen[k]) > 1 << 20:
                                 seen[k] = [summed(seen[k])]
