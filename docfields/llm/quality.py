@@ -31,7 +31,7 @@ from .jaccard import mixed
 ORDER = 5
 PRIOR = 200
 START = 10  # a text begins as after line ends
-BLOCK = 1 << 26
+BLOCK = 1 << 25
 RADIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -200,12 +200,12 @@ def gathered(blocks: DataFrame, good: DataFrame) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        out = [[] for _ in range(6)]
+        names, out = ["kind", "block", "gram", "context", "suffix", "n"], []
 
-        def put(kind, block, gram, context=None, suffix=None, n=None):
-            none = np.zeros(len(gram), np.int64)
-            for column, x in zip(out, (none + kind, none + block, gram.view(np.int64), none if context is None else context.view(np.int64), none if suffix is None else suffix.view(np.int64), none if n is None else n)):
-                column.append(x)
+        def put(kind, block, gram, *others):
+            none = pa.array(np.zeros(len(gram), np.int64))
+            others = [pa.array(x.view(np.int64)) for x in others] or [none] * 3
+            out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), kind, np.int32)), pa.array(np.full(len(gram), block)), pa.array(gram.view(np.int64)), *others], names=names))
 
         if left.num_rows:
             h, block = hashes(), left["block"][0].as_py()
@@ -242,8 +242,7 @@ def gathered(blocks: DataFrame, good: DataFrame) -> DataFrame:
                 if parts:
                     put(k, block, *summed(parts))
             put(0, block, np.unique(np.concatenate(asked)))
-        columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-        return pa.table([pa.array(x.astype(t)) for x, t in zip(columns, (np.int32, *[np.int64] * 5))], names=["kind", "block", "gram", "context", "suffix", "n"])
+        return pa.Table.from_batches(out, pa.schema([(name, pa.int32() if name == "kind" else pa.int64()) for name in names]))
 
     return blocks.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(run, "kind int, block long, gram long, context long, suffix long, n long")
 
@@ -315,6 +314,7 @@ def score(blocks: DataFrame, answers: DataFrame, unseen: float) -> DataFrame:
             return np.where(key[at] == x, of[at], np.nan)
 
         out = []
+        kept, kept_cost = np.zeros(1 << 21, np.uint64), np.zeros(1 << 21)  # of grams met in earlier pieces
         for table in unpacked(left["rows"]):
             sizes, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
             for first, last, data, starts, _ in segments(table["text"].combine_chunks()):
@@ -323,11 +323,16 @@ def score(blocks: DataFrame, answers: DataFrame, unseen: float) -> DataFrame:
                 if len(h.where):
                     x = h.whole()
                     one, number = h.distinct(x)
-                    place, cost = h.where[one], np.full(len(one), unseen)
+                    slot = (x[one] >> np.uint64(43)).astype(np.int64)
+                    costs = kept_cost[slot]
+                    new = np.flatnonzero(kept[slot] != x[one])
+                    place, cost = h.where[one[new]], np.full(len(new), unseen)
                     for k in range(1, ORDER + 1):
-                        seen, weight = known(x[one] if k == ORDER else h.at(place, k), p), known(h.at(place - 1, k - 1), backoff)
+                        seen, weight = known(h.at(place, k), p), known(h.at(place - 1, k - 1), backoff)
                         cost = np.where(np.isnan(seen), np.where(np.isnan(weight), 1.0, weight) * cost, seen)
-                    total = np.bincount(h.row, -np.log(cost)[number], last - first)
+                    costs[new] = -np.log(cost)
+                    kept[slot[new]], kept_cost[slot[new]] = x[one[new]], costs[new]
+                    total = np.bincount(h.row, costs[number], last - first)
                 sizes.append(h.size), sums.append(total)
             columns = [table["doc_id"], table["lang"].cast(pa.string()), table["row"], pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(sums))]
             out.append(pa.table(columns, names=["doc_id", "lang", "row", "n_symbols", "nll"]))
@@ -360,9 +365,11 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985) -> Dat
         return rows.select("*", *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "score", "threshold")], F.lit(True).alias("keep"))
     model = materialize(kneser_ney(counts), "kn-model")
     unseen = model.where("gram = -1").first()["p"]
-    answers = found.where("kind = 0").select("block", "gram").join(model.hint("merge"), "gram").select(F.col("block"), "gram", F.col("p").cast("float"), F.col("backoff").cast("float"))
-    scored = materialize(score(blocks, answers, unseen), "scored")
+    asked = materialize(found.where("kind = 0").select("block", "gram"), "asked")
     drop_written(found)
+    answers = asked.join(model.hint("merge"), "gram").select(F.col("block"), "gram", F.col("p").cast("float"), F.col("backoff").cast("float"))
+    scored = materialize(score(blocks, answers, unseen), "scored")
+    drop_written(asked)
     held = materialize(scored.join(good.where("check").select("doc_id"), "doc_id", "left_semi").where("n_symbols > 0"), "held-back", small=True)
     mean = small_side(held.groupBy("lang").agg((F.sum("nll") / F.sum("n_symbols")).alias("mean")))
     all_mean = held.agg((F.sum("nll") / F.sum("n_symbols")).alias("m")).first()["m"]
