@@ -31,7 +31,7 @@ from .jaccard import mixed
 ORDER = 5
 PRIOR = 200
 START = 10  # a text begins as after line ends
-BLOCK = 1 << 25
+BLOCK, PIECE = 1 << 25, 1 << 18  # bytes of a block, and of what is hashed at once
 RADIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,7 +78,7 @@ class Hashes:
 
         self.value = mixed(np.arange(sys.maxunicode + 1, dtype=np.uint64))
         self.power = np.array([pow(int(RADIX), j, 1 << 64) for j in range(ORDER)], np.uint64)
-        self.slot = np.empty(1 << 22, np.int32)
+        self.slot = np.empty(1 << 20, np.int32)
 
     def read(self, data: np.ndarray, starts: np.ndarray) -> None:
         code, at = points(data)
@@ -113,7 +113,7 @@ class Hashes:
     def distinct(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of one of each distinct value, number of every value among these)."""
         index = np.arange(len(x), dtype=np.int32)
-        slot = (x >> np.uint64(42)).astype(np.int32)
+        slot = (x >> np.uint64(44)).astype(np.int32)
         self.slot[slot] = index
         first = self.slot[slot]
         rest = np.flatnonzero(x[first] != x)
@@ -131,7 +131,7 @@ def hashes() -> Hashes:
 # ----------------------------------------------------------------------- blocks
 
 
-def packed(docs: DataFrame, blocks: int, flush: int = 1 << 24) -> DataFrame:
+def packed(docs: DataFrame, blocks: int, flush: int = 3 << 22) -> DataFrame:
     """(block, rows): documents as compressed Arrow tables (doc_id, lang, row, text)."""
 
     def run(batches):
@@ -219,7 +219,7 @@ def gathered(blocks: DataFrame, good: DataFrame) -> DataFrame:
                     yield False, table["text"].filter(pc.invert(mine)).combine_chunks()
 
             for train, texts in parts():
-                for *_, data, starts, _ in segments(texts):
+                for *_, data, starts, _ in segments(texts, PIECE):
                     h.read(data, starts)
                     x = h.whole()
                     one, number = h.distinct(x)
@@ -227,7 +227,7 @@ def gathered(blocks: DataFrame, good: DataFrame) -> DataFrame:
                     grams = [h.at(place, k) for k in range(1, ORDER)] + [x[one]]
                     # contexts are grams that end one character before, in the list already, or line ends before a text
                     asked += [x[h.distinct(x)[0]] for x in grams] + [h.at(h.where[:1] - 1, k) for k in range(1, ORDER)]
-                    if sum(map(len, asked)) > 1 << 22:
+                    if sum(map(len, asked)) > 1 << 21:
                         asked = [np.unique(np.concatenate(asked))]
                     if train:
                         before = [h.at(place - 1, k) for k in range(ORDER)]
@@ -236,7 +236,7 @@ def gathered(blocks: DataFrame, good: DataFrame) -> DataFrame:
                             suffix = grams[k - 2] if k > 1 else np.zeros(len(one), np.uint64)
                             first, again = h.distinct(grams[k - 1])
                             seen[k].append((grams[k - 1][first], before[k - 1][first], suffix[first], np.bincount(again, n).astype(np.int64)))
-                            if sum(len(x) for x, *_ in seen[k]) > 1 << 20:
+                            if sum(len(x) for x, *_ in seen[k]) > 1 << 19:
                                 seen[k] = [summed(seen[k])]
             for k, parts in seen.items():
                 if parts:
@@ -317,7 +317,7 @@ def score(blocks: DataFrame, answers: DataFrame, unseen: float) -> DataFrame:
         kept, kept_cost = np.zeros(1 << 21, np.uint64), np.zeros(1 << 21)  # of grams met in earlier pieces
         for table in unpacked(left["rows"]):
             sizes, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for first, last, data, starts, _ in segments(table["text"].combine_chunks()):
+            for first, last, data, starts, _ in segments(table["text"].combine_chunks(), PIECE):
                 h.read(data, starts)
                 total = np.zeros(last - first)
                 if len(h.where):
