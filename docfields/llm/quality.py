@@ -369,8 +369,11 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.985) -> Dat
     drop_written(found)
     release(docs.sparkSession)
     answers = asked.join(model.hint("merge"), "gram").select(F.col("block"), "gram", F.col("p").cast("float"), F.col("backoff").cast("float"))
-    scored = materialize(score(blocks, answers, unseen), "scored")
+    answers = materialize(answers, "answers")
     drop_written(asked)
+    release(docs.sparkSession)
+    scored = materialize(score(blocks, answers, unseen), "scored")
+    drop_written(answers)
     held = materialize(scored.join(good.where("check").select("doc_id"), "doc_id", "left_semi").where("n_symbols > 0"), "held-back", small=True)
     mean = small_side(held.groupBy("lang").agg((F.sum("nll") / F.sum("n_symbols")).alias("mean")))
     all_mean = held.agg((F.sum("nll") / F.sum("n_symbols")).alias("m")).first()["m"]
