@@ -138,7 +138,7 @@ def packed(docs: DataFrame, blocks: int, flush: int = 3 << 22) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
         held, size = [], 0
 
         def chunk():
