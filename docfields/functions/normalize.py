@@ -290,8 +290,12 @@ def lcs_ratio_udf():
     """Pandas UDF: 2 * LCS / (len(a) + len(b)), the normalized indel similarity; 1 for two empty texts."""
     import pandas as pd
 
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b)])
-
-    return ratio
+    def ratio(a, b):
+        known: dict[tuple[str, str], float] = {}
+        for pair in zip(a.fillna(""), b.fillna("")):
+            if pair not in known:
+                known[pair] = indel_ratio(*pair)
+        return pd.Series([known[pair] for pair in zip(a.fillna(""), b.fillna(""))], dtype="float64")
+
+    ratio.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return F.pandas_udf(ratio, "double")

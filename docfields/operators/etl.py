@@ -72,6 +72,28 @@ def split(df: DataFrame, key: Column, train: int = 800) -> DataFrame:
     return df.withColumn("part", F.when(hash_bucket(key) < train, "train").otherwise("test"))
 
 
+def split_parts(df: DataFrame, key: Column, parts: tuple[tuple[str, int], ...] = (("train", 700), ("validation", 850), ("test", 1000))) -> DataFrame:
+    """Adds ``part`` by the key's bucket of a thousand; a part's number is its first bucket beyond."""
+    part = F.lit(None).cast("string")
+    for name, beyond in reversed(parts):
+        part = F.when(hash_bucket(key) < beyond, name).otherwise(part)
+    return df.withColumn("part", part)
+
+
+def sample_fraction(df: DataFrame, key: str, thousandths: int) -> DataFrame:
+    """The rows of the first ``thousandths`` buckets: about that share, the same ones on every run."""
+    return df.where(hash_bucket(F.col(key)) < thousandths)
+
+
+def rename_aliases(df: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """Columns under their canonical names; an alias fills what its canonical column lacks, and goes."""
+    for alias, name in aliases.items():
+        if alias in df.columns:
+            value = F.coalesce(F.col(name), F.col(alias)) if name in df.columns else F.col(alias)
+            df = df.withColumn(name, value).drop(alias)
+    return df
+
+
 def sample_n(df: DataFrame, key: str, n: int) -> DataFrame:
     """Exactly ``n`` rows, those of the smallest bucket, then key."""
     return df.withColumn("_b", hash_bucket(F.col(key))).orderBy("_b", key).limit(n).drop("_b")

@@ -71,6 +71,29 @@ def without_task_token(text: Column) -> Column:
     return N.trimmed(F.regexp_replace(clean, r"^<[^>]+>", ""))
 
 
+def token_map(text: Column) -> Column:
+    """``<s_key>value</s_key>`` marks as a map; null without any. Of a repeated key the last one counts."""
+    pattern = F.lit(r"(?s)<s_([^>/]+)>(.*?)</s_\1>")
+    keys, values = F.regexp_extract_all(text, pattern, 1), F.transform(F.regexp_extract_all(text, pattern, 2), N.trimmed)
+    last = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda p: p["k"].isNotNull())
+    entries = F.transform(last, lambda p: F.struct(p["k"], p["v"]))
+    distinct = F.array_distinct(keys)
+    newest = F.transform(distinct, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1))
+    return F.when(F.size(keys) > 0, F.map_from_entries(newest))
+
+
+def parsed_text(text: Column) -> Column:
+    """Generated text as a map: marks, else JSON, else the text itself under ``raw_text``."""
+    body = without_task_token(text)
+    return F.coalesce(token_map(body), as_map(salvaged(body)), F.create_map(F.lit("raw_text"), body))
+
+
+def result_rows(df: DataFrame, key: str, text: str, most: int = 250) -> DataFrame:
+    """What the sink of generated results holds: the first characters of the text and the parsed keys, sorted."""
+    parsed = parsed_text(F.col(text))
+    return df.select(key, F.substring(F.col(text), 1, most).alias("raw_sequence"), F.array_join(F.array_sort(F.map_keys(parsed)), ",").alias("parsed_keys"))
+
+
 def salvaged(text: Column) -> Column:
     """The outermost ``{...}`` of a text, closing commas and stray quotes after a brace removed; null without one."""
     body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)

@@ -8,7 +8,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 
 from ..functions import normalize as N
-from ..functions.similarity import indel_ratio
 
 REJECT = ("tax", "id", "iban", "vat", "invoice", "date")
 LINE_ANCHORS = ("summary", "vat", "tax", "net", "gross", "total", "amount")
@@ -142,96 +141,102 @@ def span_quality(text: Column, n_words: Column) -> Column:
 # ------------------------------------------------------- windows by similarity
 
 
-def fuzzy_window(haystack: list[str], needle: list[str], least: float = 0.92, slack: int = 2, starts: list[tuple[int, int]] | None = None, reject: tuple[str, ...] = ()) -> tuple[int, int] | None:
-    """Window of the haystack most similar to the needle; of equals the shorter, then the earlier one.
+def anchor_ranges(norm: Column, terms: tuple[str, ...], reach: int) -> Column:
+    """(first, stop) of the words that follow each word of ``terms`` (colons aside), ``reach`` of them at most."""
+    cores = F.transform(norm, lambda w, i: F.struct(F.regexp_replace(w, ":+$", "").alias("w"), (i + 1).alias("first")))
+    found = F.filter(cores, lambda c: c["w"].isin(*terms)) if terms else F.slice(cores, 1, 0)
+    return F.transform(found, lambda c: F.struct(c["first"].alias("first"), F.least(F.size(norm), c["first"] + reach).alias("stop")))
 
-    ``starts`` limits windows to (first, stop) ranges; windows with a word of ``reject`` are passed over.
-    """
-    target = " ".join(needle).strip()
-    if not target:
-        return None
-    best: tuple[float, int, int] | None = None
-    for first, stop in starts if starts is not None else [(0, len(haystack))]:
-        for size in range(max(1, len(needle) - slack), len(needle) + slack + 1):
-            for s in range(first, stop - size + 1):
-                window = haystack[s : s + size]
-                if reject and any(w in reject for w in window):
-                    continue
-                text = " ".join(window).strip()
-                if text:
-                    score = indel_ratio(target, text)
-                    if best is None or score > best[0]:
-                        best = (score, s, s + size)
-    return (best[1], best[2]) if best and best[0] >= least else None
-
-
-def after_anchors(norm: list[str], terms: set[str], reach: int) -> list[tuple[int, int]]:
-    return [(i + 1, min(len(norm), i + 1 + reach)) for i, w in enumerate(norm) if w in terms or w.rstrip(":") in terms]
 
+def similar_spans(rows: DataFrame, slack: int = 2, reject: tuple[str, ...] = REJECT) -> DataFrame:
+    """(key, field, start, end, score): the window most similar to the needle, if as similar as ``least``.
 
-MONEY_ANCHORS = {"tax": {"vat", "tax"}, "net_worth": {"net", "networth", "subtotal"}, "total_amount": {"total", "gross", "amount", "summary"}}
+    ``rows(key, field, hay, needle, least, ranges, guided)``: word arrays, and the (first, stop) ranges that
+    windows lie in.  Windows are up to ``slack`` words shorter or longer than the needle; ``guided`` ones
+    hold no word of ``reject``.  A window's length bounds its similarity, so most are never scored; equal
+    pairs of a batch are scored once.  Of equals comes the one of the earlier range, then the shorter, then the
+    earlier one.
+    """
+    size = F.size("needle")
+    at = rows.where(size > 0).select("key", "field", "hay", "least", "guided", F.trim(F.array_join("needle", " ")).alias("target"), size.alias("size"), F.posexplode("ranges").alias("range", "r"))
+    sizes = F.sequence(F.greatest(F.lit(1), F.col("size") - slack), F.least(F.col("size") + slack, F.col("r.stop") - F.col("r.first")))
+    fits = F.col("r.stop") - F.col("r.first") >= F.greatest(F.lit(1), F.col("size") - slack)
+    at = at.where(fits).withColumn("n", F.explode(sizes)).withColumn("s", F.explode(F.sequence(F.col("r.first"), F.col("r.stop") - F.col("n"))))
+    window = F.slice("hay", F.col("s") + 1, F.col("n"))
+    at = at.where(~F.col("guided") | ~F.arrays_overlap(window, F.array(*[F.lit(w) for w in reject]))).withColumn("text", F.trim(F.array_join(window, " ")))
+    shorter, both = F.least(F.length("text"), F.length("target")), F.length("text") + F.length("target")
+    at = at.where((F.length("text") > 0) & (2.0 * shorter / both >= F.col("least")))
+    scored = at.select("key", "field", "range", "n", "s", "least", N.lcs_ratio_udf()("target", "text").alias("score")).where("score >= least")
+    place = F.struct("score", -F.col("range"), -F.col("n"), -F.col("s"))
+    best = scored.groupBy("key", "field").agg(F.max_by(F.struct(F.col("s").alias("start"), (F.col("s") + F.col("n")).alias("end"), "score"), place).alias("b"))
+    return best.select("key", "field", F.col("b.start").cast("long").alias("start"), F.col("b.end").cast("long").alias("end"), "b.score")
+
+
+#: Per field: anchor words, least similarity after them, words looked at after an anchor, longest span.
+GUIDED = {
+    "invoice_number": ((), 1.0, 0, None),
+    "invoice_date": ((), 1.0, 0, None),
+    "seller_name": (("seller",), 0.70, 28, 14),
+    "client_name": (("client",), 0.70, 28, 14),
+    "tax": (("vat", "tax"), 0.68, 36, None),
+    "net_worth": (("net", "networth", "subtotal"), 0.68, 36, None),
+    "total_amount": (("total", "gross", "amount", "summary"), 0.68, 36, None),
+}
+
+
+def searched_spans(page: DataFrame) -> DataFrame:
+    """(key, field, start, end): what similarity finds on ``page(key, field, hay, norm, needle)``: anywhere at 0.92, else after anchors."""
+    whole = F.array(F.struct(F.lit(0).alias("first"), F.size("hay").alias("stop")))
+    anywhere = similar_spans(page.select("key", "field", "hay", "needle", F.lit(0.92).alias("least"), whole.alias("ranges"), F.lit(False).alias("guided")))
+    rest = page.join(anywhere.select("key", "field"), ["key", "field"], "left_anti")
+    least, ranges = F.lit(None).cast("double"), F.array().cast("array<struct<first:int,stop:int>>")
+    for field, (terms, low, reach, _) in GUIDED.items():
+        if terms:
+            least = F.when(F.col("field") == field, F.lit(low)).otherwise(least)
+            ranges = F.when(F.col("field") == field, anchor_ranges(F.col("norm"), terms, reach)).otherwise(ranges)
+    after = similar_spans(rest.select("key", "field", F.col("norm").alias("hay"), "needle", least.alias("least"), ranges.alias("ranges"), F.lit(True).alias("guided")))
+    return anywhere.unionByName(after).drop("score")
+
+
+def assigned(candidates: Column) -> Column:
+    """Of (order, field, start, end) candidates those that are the first of their field and overlap none before them."""
+    kind = "array<struct<order:int,field:string,start:bigint,end:bigint>>"
+    return F.aggregate(
+        F.array_sort(candidates), F.array().cast(kind),
+        lambda acc, c: F.when(F.exists(acc, lambda o: (o["field"] == c["field"]) | ((o["start"] < c["end"]) & (c["start"] < o["end"]))), acc).otherwise(F.concat(acc, F.array(c)).cast(kind)),
+    )
 
 
 def weak_labels(words: DataFrame, lined: DataFrame, truth: DataFrame) -> DataFrame:
     """(key, words, labels, spans): BIO labels of a page from its true values.
 
-    Exact subsequences and the money line are plain plans; what they leave open is searched by
-    similarity in a grouped-map function, because every assignment takes words away from the
-    next one.
+    Exact subsequences come first, then windows by similarity; amounts prefer the money line.  Spans are
+    taken in the order of fields, each only where no word is taken yet.
     """
-    exact = value_spans(words, truth)
-    money = line_money_spans(lined, truth)
     fields = list(N.FIELDS)
-    targets = [N.value_tokens(f, f).alias(f"t_{f}") for f in fields]
-    pack = lambda df: df.groupBy("key").agg(F.collect_list(F.struct("field", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).alias("s"))
+    order = {f: i for i, f in enumerate(GUIDED)}
+    exact = value_spans(words, truth).select("key", "field", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    money = line_money_spans(lined, truth).select("key", "field", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
     page = words.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("word_idx", "text", F.coalesce(N.text("text"), F.lit("")).alias("norm"), *[N.token_value(f, F.col("text")).alias(f"v_{f}") for f in fields]))).alias("ws"))
-    page = page.join(truth.select("key", *targets), "key").join(pack(exact).withColumnRenamed("s", "exact"), "key", "left").join(pack(money).withColumnRenamed("s", "money"), "key", "left")
-    schema = "key long, words array<string>, labels array<string>, spans map<string, array<long>>"
-
-    def label(batches):
-        import pandas as pd
-
-        for frame in batches:
-            out = []
-            for row in frame.itertuples(index=False):
-                ws = list(row.ws)
-                n = len(ws)
-                norm = [w["norm"] for w in ws]
-                free, spans = [True] * n, {}
-                known = {x["field"]: (x["start"], x["end"]) for x in (row.exact if row.exact is not None else [])}
-                lines = {x["field"]: (x["start"], x["end"]) for x in (row.money if row.money is not None else [])}
-
-                def assign(field, span, free=free, spans=spans):
-                    if span and field not in spans and all(free[span[0] : span[1]]):
-                        spans[field] = span
-                        free[span[0] : span[1]] = [False] * (span[1] - span[0])
-
-                def search(field, least, reach, terms, ws=ws, norm=norm, row=row, known=known):
-                    needle = list(getattr(row, f"t_{field}"))
-                    if not needle:
-                        return None
-                    found = known.get(field) or fuzzy_window([w[f"v_{field}"] for w in ws], needle)
-                    if found is None and terms:
-                        found = fuzzy_window(norm, needle, least, 2, after_anchors(norm, terms, reach), REJECT)
-                    return found
-
-                for f in ("invoice_number", "invoice_date"):
-                    assign(f, search(f, 1.0, 0, None))
-                for f, term in (("seller_name", "seller"), ("client_name", "client")):
-                    span = search(f, 0.70, 28, {term})
-                    assign(f, span if span and span[1] - span[0] <= 14 else None)
-                for f in N.MONEY_FIELDS:
-                    assign(f, lines.get(f))
-                for f in N.MONEY_FIELDS:
-                    if f not in spans:
-                        assign(f, search(f, 0.68, 36, MONEY_ANCHORS[f]))
-                labels = ["O"] * n
-                for f, (s, e) in spans.items():
-                    labels[s:e] = [f"B-{f.upper()}"] + [f"I-{f.upper()}"] * (e - s - 1)
-                out.append((row.key, [w["text"] for w in ws], labels, {f: list(s) for f, s in spans.items()}))
-            yield pd.DataFrame(out, columns=["key", "words", "labels", "spans"])
-
-    return page.mapInPandas(label, schema)
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"ws.v_{f}").alias("hay"), N.value_tokens(f, f).alias("needle")) for f in fields])
+    long = page.join(truth.select("key", *fields), "key").select("key", F.col("ws.norm").alias("norm"), F.inline(cells))
+    found = exact.union(searched_spans(long.join(exact.select("key", "field"), ["key", "field"], "left_anti")))
+    longest = F.create_map(*[F.lit(x) for f, (*_, most) in GUIDED.items() if most for x in (f, most)])
+    found = found.where(F.coalesce(F.col("end") - F.col("start") <= F.try_element_at(longest, F.col("field")), F.lit(True)))
+    rank = F.create_map(*[F.lit(x) for f, i in order.items() for x in (f, i)])[F.col("field")]
+    late = F.when(F.col("field").isin(*N.MONEY_FIELDS), 100).otherwise(0)  # searched amounts come after all of the money line
+    ranked = found.withColumn("order", rank + late).union(money.withColumn("order", rank))
+    spans = ranked.groupBy("key").agg(assigned(F.collect_list(F.struct(F.col("order").cast("int").alias("order"), "field", "start", "end"))).alias("spans"))
+    page = page.join(truth.select("key"), "key").join(spans, "key", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<order:int,field:string,start:bigint,end:bigint>>")))
+
+    def label(i: Column) -> Column:
+        own = F.get(F.filter("spans", lambda s: (s["start"] <= i) & (i < s["end"])), F.lit(0))
+        return F.when(own.isNull(), "O").otherwise(F.concat(F.when(own["start"] == i, "B-").otherwise("I-"), F.upper(own["field"])))
+
+    return page.select(
+        "key", F.col("ws.text").alias("words"), F.transform("ws", lambda w, i: label(i)).alias("labels"),
+        F.map_from_entries(F.transform("spans", lambda s: F.struct(s["field"], F.array(s["start"], s["end"])))).alias("spans"),
+    )
 
 
 def coverage(spans: DataFrame, keys: DataFrame, fields: tuple[str, ...] = N.FIELDS) -> DataFrame:

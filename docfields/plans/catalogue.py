@@ -461,3 +461,32 @@ def match_rates(spark, sf_dir):
     fields = ("tax", "total_amount")
     cells = evaluate.long_form(evaluate.paired(t, p, "key", fields), fields, N.normalizer, "key")
     return profile.group_rates(cells.withColumn("matched", F.coalesce(F.col("gt") == F.col("pred"), F.lit(False))), "field", ["matched"])
+
+
+VENDOR = "length(seller_name) * 31 + ascii(seller_name)"
+
+
+@query(ctes("truth") + f"SELECT part, count(*) AS n, count(DISTINCT seller_name) AS sellers FROM (SELECT seller_name, CASE WHEN {q_bucket(VENDOR)} < 700 THEN 'train' WHEN {q_bucket(VENDOR)} < 850 THEN 'validation' ELSE 'test' END AS part FROM truth) t GROUP BY part")
+def split_vendor_three(spark, sf_dir):
+    t = etl.split_parts(frame(spark, sf_dir, "truth"), F.expr(VENDOR))
+    return t.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("seller_name").alias("sellers"))
+
+
+@query(ctes("truth") + f"SELECT key, seller_name FROM truth WHERE {q_bucket('key')} < 100")
+def sample_by_fraction(spark, sf_dir):
+    return etl.sample_fraction(frame(spark, sf_dir, "truth"), "key", 100).select("key", "seller_name")
+
+
+@query(ctes("truth") + "SELECT key, CASE WHEN key % 3 = 0 AND key % 2 = 0 THEN NULL ELSE seller_name END AS seller_name, invoice_date FROM truth")
+def alias_rename(spark, sf_dir):
+    own, other = F.when(F.col("key") % 3 != 0, F.col("seller_name")), F.when(F.col("key") % 2 != 0, F.col("seller_name"))
+    raw = frame(spark, sf_dir, "truth").select("key", own.alias("seller_name"), other.alias("vendor_name"), F.col("invoice_date").alias("date"))
+    return etl.rename_aliases(raw, {"vendor_name": "seller_name", "date": "invoice_date"}).select("key", "seller_name", "invoice_date")
+
+
+@query(ctes("truth") + "SELECT key, round(2.0 * (length(seller_name) - 1) / (2 * length(seller_name) - 1), 6) AS cut, round(2.0 * length(seller_name) / (2 * length(seller_name) + 2), 6) AS grown, CASE WHEN seller_name = client_name THEN 1.0 END AS same FROM truth")
+def similarity_ratio(spark, sf_dir):
+    ratio = N.lcs_ratio_udf()
+    t = frame(spark, sf_dir, "truth").withColumn("less", F.expr("left(seller_name, length(seller_name) - 1)")).withColumn("more", F.concat(F.lit("#"), "seller_name", F.lit("#")))
+    t = t.select("key", "seller_name", "client_name", ratio("seller_name", "less").alias("cut"), ratio("seller_name", "more").alias("grown"), ratio("seller_name", "client_name").alias("same"))
+    return t.select("key", F.round("cut", 6).alias("cut"), F.round("grown", 6).alias("grown"), F.when(F.col("seller_name") == F.col("client_name"), F.col("same")).alias("same"))

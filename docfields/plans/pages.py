@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..operators import evaluate, extract, generative, layout, parties, weaklabel
-from .catalogue import HEIGHT, WIDTH, q_money, q_ratio, q_text, query
+from ..sources import files
+from .catalogue import HEIGHT, ORACLES, WIDTH, q_money, q_ratio, q_text, query
 from .fixtures import ctes, european, frame
 
 WORDS = ctes("words")
@@ -503,3 +504,79 @@ def gen_degenerate(spark, sf_dir):
 def train_frame(spark, sf_dir):
     t = frame(spark, sf_dir, "truth").join(frame(spark, sf_dir, "manifest").select("original_file", "original_path"), F.col("file_name") == F.col("original_file"))
     return generative.training_frame(t, "original_path", "key", augment=2)
+
+
+# ------------------------------------------------------- windows, names, marks, labels
+
+
+@query(CANDIDATES + "SELECT key, string_agg(text, ' | ' ORDER BY rank) AS names FROM ranked WHERE rank <= 5 GROUP BY key")
+def name_candidates_top5(spark, sf_dir):
+    found = parties.top_candidates(parties.candidates(words(spark, sf_dir), ("client",), "right", WIDTH))
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "text")))
+    return found.groupBy("key").agg(F.array_join(F.slice(F.transform(ranked, lambda c: c["text"]), 1, 5), " | ").alias("names"))
+
+
+@query(CANDIDATES + "SELECT key, arg_max(text, struct_pack(l := length(text), r := -rank)) AS longest FROM ranked WHERE rank <= 20 GROUP BY key")
+def name_longest(spark, sf_dir):
+    found = parties.top_candidates(parties.candidates(words(spark, sf_dir), ("client",), "right", WIDTH))
+    return found.groupBy("key").agg(F.max_by("text", F.struct(F.length("text"), -F.col("rank"))).alias("longest"))
+
+
+def windows_of(spark, sf_dir, field: str, least: float, anchors: tuple[str, ...] = ()) -> DataFrame:
+    """Places of a true name, its last letter lost, on the page."""
+    page = words(spark, sf_dir).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("word_idx", F.lower("text").alias("t")))).alias("ws"))
+    hay = F.transform("ws", lambda w: w["t"])
+    ranges = weaklabel.anchor_ranges(hay, anchors, 28) if anchors else F.array(F.struct(F.lit(0).alias("first"), F.size("ws").alias("stop")))
+    needle = F.split(F.expr(f"lower(left({field}, length({field}) - 1))"), " ")
+    rows = page.join(frame(spark, sf_dir, "truth").select("key", field), "key")
+    rows = rows.select("key", F.lit(field).alias("field"), hay.alias("hay"), needle.alias("needle"), F.lit(least).alias("least"), ranges.alias("ranges"), F.lit(bool(anchors)).alias("guided"))
+    found = weaklabel.similar_spans(rows)
+    return found.select("key", "field", "start", "end", F.round("score", 6).alias("score"))
+
+
+def placed_names(field: str, left: str) -> str:
+    """Where a name stands on its line; equal names, where the first of them does."""
+    return ctes("words", "truth") + (
+        f"SELECT t.key, '{field}' AS field, CAST(min(w.word_idx) AS BIGINT) AS start, CAST(max(w.word_idx) + 1 AS BIGINT) AS \"end\", "
+        f"round(2.0 * (length(any_value(t.{field})) - 1) / (2 * length(any_value(t.{field})) - 1), 6) AS score "
+        f"FROM truth t JOIN words w ON w.key = t.key AND w.true_line = 3 AND (w.x < 500) = ({left}) GROUP BY t.key"
+    )
+
+
+@query(placed_names("seller_name", "true"))
+def fuzzy_windows(spark, sf_dir):
+    return windows_of(spark, sf_dir, "seller_name", 0.8)
+
+
+@query(placed_names("client_name", "t.seller_name = t.client_name"))
+def anchor_windows(spark, sf_dir):
+    return windows_of(spark, sf_dir, "client_name", 0.72, ("client",))
+
+
+MARKED = ctes("truth") + """, marked AS (SELECT key, invoice_number, total_amount, CASE key % 3
+  WHEN 0 THEN '<s_invoice><s_inv_no>' || invoice_number || '</s_inv_no><s_total> ' || total_amount || ' </s_total></s>'
+  WHEN 1 THEN '<s_invoice>{"total": "' || total_amount || '"}</s>' ELSE '<s_invoice>' || repeat('total ' || invoice_number || ' ', 40) || '</s>' END AS generated FROM truth) """
+
+
+def marked(spark, sf_dir) -> DataFrame:
+    number, total, kind = F.col("invoice_number"), F.col("total_amount").cast("string"), F.col("key") % 3
+    marks = F.concat(F.lit("<s_invoice><s_inv_no>"), number, F.lit("</s_inv_no><s_total> "), total, F.lit(" </s_total></s>"))
+    json = F.concat(F.lit('<s_invoice>{"total": "'), total, F.lit('"}</s>'))
+    plain = F.concat(F.lit("<s_invoice>"), F.repeat(F.concat(F.lit("total "), number, F.lit(" ")), F.lit(40)), F.lit("</s>"))
+    return frame(spark, sf_dir, "truth").select("key", F.when(kind == 0, marks).when(kind == 1, json).otherwise(plain).alias("generated"))
+
+
+@query(MARKED + "SELECT key, CASE WHEN key % 3 = 0 THEN invoice_number END AS inv_no, CASE WHEN key % 3 < 2 THEN total_amount::VARCHAR END AS total, CASE WHEN key % 3 = 2 THEN trim(repeat('total ' || invoice_number || ' ', 40)) END AS raw_text FROM marked")
+def gen_mark_fields(spark, sf_dir):
+    m = generative.parsed_text(F.col("generated"))
+    return marked(spark, sf_dir).select("key", *[F.try_element_at(m, F.lit(k)).alias(k) for k in ("inv_no", "total", "raw_text")])
+
+
+@query(MARKED + "SELECT key, left(generated, 250) AS raw_sequence, CASE key % 3 WHEN 0 THEN 'inv_no,total' WHEN 1 THEN 'total' ELSE 'raw_text' END AS parsed_keys FROM marked")
+def gen_result_rows(spark, sf_dir):
+    return generative.result_rows(marked(spark, sf_dir), "key", "generated")
+
+
+@query(f"SELECT label, CAST(row_number() OVER (ORDER BY label <> 'O', label) - 1 AS BIGINT) AS id FROM (SELECT DISTINCT label FROM ({ORACLES['bio_labels']}) x) y")
+def label_ids(spark, sf_dir):
+    return files.label_ids(bio_labels(spark, sf_dir))

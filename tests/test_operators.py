@@ -4,7 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from docfields.operators import evaluate, extract, generative, layout, parties, weaklabel
+from docfields.operators import etl, evaluate, extract, generative, layout, parties, weaklabel
 from docfields.sources import files
 from docfields.streaming import pages as stream_pages
 
@@ -62,10 +62,57 @@ def test_orphans_are_dropped(spark):
     assert [(r["field"], r["text"]) for r in weaklabel.spans_of_labels(df).collect()] == [("tax", "b c")]
 
 
-def test_fuzzy_window_prefers_the_shorter_of_equals():
-    hay = "x andrade and kin y".split()
-    assert weaklabel.fuzzy_window(hay, "andrade and kim".split(), 0.9) == (1, 4)
-    assert weaklabel.fuzzy_window(hay, "zzz".split(), 0.9) is None
+def similar(spark, rows):
+    kind = "key long, field string, hay array<string>, needle array<string>, least double, ranges array<struct<first:int,stop:int>>, guided boolean"
+    return {r["key"]: (r["start"], r["end"]) for r in weaklabel.similar_spans(spark.createDataFrame(rows, kind)).collect()}
+
+
+def test_similar_spans_against_every_window(spark):
+    import random
+
+    from docfields.functions.similarity import indel_ratio
+
+    rng, rows, want = random.Random(3), [], {}
+    lexicon = "andrade kim kin and sons vat total fuller inc a".split()
+    for key in range(120):
+        hay, needle = ([rng.choice(lexicon) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        needle = needle[:4]
+        ranges = [(0, len(hay))] if key % 2 else [(f, min(len(hay), f + 6)) for f in sorted(rng.sample(range(15), 2)) if f < len(hay)]
+        least, guided = rng.choice([0.5, 0.7, 0.92]), key % 3 == 0
+        rows.append((key, "f", hay, needle, least, ranges, guided))
+        found = [
+            (-indel_ratio(" ".join(needle), " ".join(hay[s : s + n])), i, n, s)
+            for i, (lo, hi) in enumerate(ranges) for n in range(max(1, len(needle) - 2), len(needle) + 3) for s in range(lo, hi - n + 1)
+            if needle and not (guided and set(hay[s : s + n]) & set(weaklabel.REJECT))
+        ]
+        if found and -min(found)[0] >= least:
+            _, _, n, s = min(found)
+            want[key] = (s, s + n)
+    assert similar(spark, rows) == want and len(want) > 20
+
+
+def test_assigned_spans_never_overlap(spark):
+    rows = [(1, [(2, "b", 3, 6), (1, "a", 0, 4), (3, "b", 4, 6), (4, "a", 8, 9)])]
+    got = spark.createDataFrame(rows, "key long, c array<struct<order:int,field:string,start:bigint,end:bigint>>").select(weaklabel.assigned(F.col("c"))).first()[0]
+    assert [(x["field"], x["start"]) for x in got] == [("a", 0), ("b", 4)]
+
+
+def test_aliases_parts_and_label_map(spark, tmp_path):
+    df = spark.createDataFrame([(1, "v", None, "2020-01-01"), (2, "w", "s", None)], "key long, vendor_name string, seller_name string, date string")
+    got = etl.rename_aliases(df, {"vendor_name": "seller_name", "date": "invoice_date"})
+    assert got.columns == ["key", "seller_name", "invoice_date"] and [r["seller_name"] for r in got.orderBy("key").collect()] == ["v", "s"]
+    labels = spark.createDataFrame([("I-TAX",), ("O",), ("B-TAX",), ("O",)], "label string")
+    files.write_label_map(labels, str(tmp_path))
+    assert {r["label"]: r["id"] for r in files.read_label_map(spark, str(tmp_path)).collect()} == {"O": 0, "B-TAX": 1, "I-TAX": 2}
+
+
+def test_generated_text_is_parsed_by_marks_then_json(spark, tmp_path):
+    df = spark.createDataFrame([(1, "<s_inv><s_tax>5</s_tax><s_tax>6</s_tax></s>"), (2, '<t>{"a": "x",}'), (3, "plain")], "key long, t string")
+    got = {r["key"]: r["m"] for r in df.select("key", generative.parsed_text(F.col("t")).alias("m")).collect()}
+    assert got == {1: {"tax": "6"}, 2: {"a": "x"}, 3: {"raw_text": "plain"}}
+    files.write_generated(generative.result_rows(df, "key", "t"), df, str(tmp_path))
+    back = files.read_csv(spark, f"{tmp_path}/donut_invoice_results", "key long, raw_sequence string, parsed_keys string")
+    assert {r["parsed_keys"] for r in back.collect()} == {"tax", "a", "raw_text"}
 
 
 def test_metrics_stay_in_range_and_count_missing_columns(spark):

@@ -12,7 +12,8 @@ from docfields.plans import catalogue
 SF = "/root/testdata/sf0.001"
 CHECKED = [
     "eval_exact_match", "eval_zonal", "eval_gap_summary", "eval_numeric_error", "eval_tolerant", "etl_clean_invoices", "join_outer", "describe_totals",
-    "words_lines_greedy", "words_regions", "totals_cascade", "line_items_table", "name_candidates_top20", "bio_labels", "vote_labels", "gen_json_fields", "gen_degenerate", "train_frame",
+    "split_vendor_three", "sample_by_fraction", "alias_rename", "similarity_ratio", "name_candidates_top5", "name_longest", "fuzzy_windows", "anchor_windows",
+    "gen_mark_fields", "gen_result_rows", "label_ids", "words_lines_greedy", "words_regions", "totals_cascade", "line_items_table", "name_candidates_top20", "bio_labels", "vote_labels", "gen_json_fields", "gen_degenerate", "train_frame",
 ]
 
 
