@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -45,11 +46,13 @@ NAMED = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 
+# A quote only counts after an equals sign; what is open at the end of the page ends there, so no place is read twice.
+INSIDE = r"""(?:=\s*+"[^"]*+(?:"|\Z)|=\s*+'[^']*+(?:'|\Z)|[^>])*+"""
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|title)\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>",
+    rf"|<(script|style|noscript|template|svg|iframe|textarea|title)\b{INSIDE}(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    rf"|<(/?)([a-z][^\s/>]*+)({INSIDE})(?:>|\Z)"
+    r"|<[!?][^>]*+(?:>|\Z)",
     re.IGNORECASE | re.DOTALL,
 )
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -191,12 +194,17 @@ def classify(found: list[Block], short: int = 12, long: int = 25, low: float = 0
             b.label = "bad"
     contained = any(b.article and not b.furniture for b in found)
     decided = [b.label for b in found]
+    places: dict[int, list[int]] = {}
+    for i, b in enumerate(found):
+        if b.label and not b.furniture:
+            places.setdefault(b.article, []).append(i)
     for i, b in enumerate(found):
         if contained and not b.article:
             b.label = "bad"  # the page names its article: text beside it is not part of it
         elif not decided[i]:
-            same = [j for j, o in enumerate(found) if decided[j] and not o.furniture and o.article == b.article]
-            near = sorted(same, key=lambda j: (abs(j - i), j))[:2]
+            same = places.get(b.article, [])
+            at = bisect(same, i)
+            near = sorted(same[max(0, at - 2) : at + 2], key=lambda j: (abs(j - i), j))[:2]
             votes = {decided[j] for j in near}
             if not near:
                 b.label = "good" if b.article else "bad"
