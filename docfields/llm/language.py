@@ -25,7 +25,11 @@ WINDOW = 48
 
 
 def runs_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of letters (Unicode category L), in lower case."""
+    found = LETTERS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for run in found for x in "".join(c if c.isalpha() else " " for c in run).split()]  # numbers that are no digits
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
