@@ -49,10 +49,10 @@ MORE = (
     Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
-    Rule("login", r"[a-z][a-z0-9+.-]*://[A-Za-z0-9._~-]+:[A-Za-z0-9._~!$&*+=-]{4,}@[A-Za-z0-9.-]+"),
+    Rule("login", r"[a-z][a-z0-9+.-]{1,30}://[A-Za-z0-9._~-]+:[A-Za-z0-9._~!$&*+=-]{4,}@[A-Za-z0-9.-]+"),
 )
 
 # ------------------------------------------------------------ queries from patterns

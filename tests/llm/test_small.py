@@ -83,6 +83,34 @@ def test_html_table(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_hostile_texts_take_no_time(spark):
+    import re
+    import time
+
+    began = time.time()
+    for page in ("<a '" * 300_000, "<aaa" * 300_000, "<!" * 500_000, "<script " * 200_000, "<p>x y</p>" * 50_000, "<a href='" + "x" * 2_000_000):
+        html.main_text(page)
+    assert html.main_text("<article><p title=it's>" + "The house of the people and the cat is in it. " * 3 + "</p></article>").startswith("The house")
+    assert language.runs_of("½ ² 12 Ⅷ") == [] and language.runs_of("x½Y é") == ["x", "y", "é"]
+    for rule in secrets.MORE:
+        for text in ("x" * 500_000, "eyJ" * 200_000, "a://" * 200_000, "-----BEGIN " + "A " * 200_000, " " * 1_000_000):
+            re.findall(rule.compiled(), text)
+    assert time.time() - began < 60
+
+
+def test_language_of_held_out_documents(spark):
+    rng, data = random.Random(6), []
+    lexicons = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(150)] for lang, letters in (("en", "etaoinshrdlu"), ("pl", "ązęókwyżiaeo"), ("el", "αβγδεζηικλμ"))}
+    for i in range(240):
+        lang = rng.choice(list(lexicons))
+        data.append((i, " ".join(rng.choice(lexicons[lang]) for _ in range(30)), lang, "s"))
+    got = {r["doc_id"]: r for r in language.identify(table(spark, data + [(900, "½ ² 12", None, None)])).collect()}
+    held = [d for d in data if got[d[0]]["held_out"]]
+    assert got[900]["lang_pred"] == "und" and len(held) > 25
+    assert sum(got[i]["lang_pred"] == lang for i, _, lang, _ in held) >= 0.95 * len(held)
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, *_ in data)
+
+
 def test_language(docs, empty, rows):
     net, names = language.fit(docs, per_language=50)
     got = language.predict(docs, net, names).collect()
