@@ -130,6 +130,19 @@ def unboxed(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     return df.select(*kept, *[c.alias(name) for name, c in new.items() if name not in columns])
 
 
+def trim() -> None:
+    """Give memory that this worker process has freed back to the system; it stays around for other tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def buckets_for(rows: int) -> int:
     """About the square root of ``rows``, as a power of two.
 

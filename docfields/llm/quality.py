@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, materialize, per_process, release, segments, small_side
+from .common import drop_written, materialize, per_process, release, segments, small_side, trim
 from .jaccard import mixed
 
 ORDER = 5
@@ -163,6 +163,8 @@ def packed(docs: DataFrame, blocks: int, flush: int = 3 << 22) -> DataFrame:
                 held, size = [], 0
         if sum(len(x) for x in held):
             yield chunk()
+        held.clear()
+        trim()
 
     block = block_of(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), blocks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language().alias("lang"), "text")
@@ -242,6 +244,8 @@ def gathered(blocks: DataFrame, good: DataFrame) -> DataFrame:
                 if parts:
                     put(k, block, *summed(parts))
             put(0, block, np.unique(np.concatenate(asked)))
+        asked = seen = None
+        trim()
         return pa.Table.from_batches(out, pa.schema([(name, pa.int32() if name == "kind" else pa.int64()) for name in names]))
 
     return blocks.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(run, "kind int, block long, gram long, context long, suffix long, n long")
@@ -336,6 +340,8 @@ def score(blocks: DataFrame, answers: DataFrame, unseen: float) -> DataFrame:
                 sizes.append(h.size), sums.append(total)
             columns = [table["doc_id"], table["lang"].cast(pa.string()), table["row"], pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(sums))]
             out.append(pa.table(columns, names=["doc_id", "lang", "row", "n_symbols", "nll"]))
+        del table, kept, kept_cost
+        trim()
         return pa.concat_tables(out)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, lang string, row long, n_symbols long, nll double")
