@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_written, materialize, per_process, release, segments
+from .common import components, drop_written, materialize, per_process, release, segments, trim
 
 SHINGLE = 5
 MIX1, MIX2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -77,7 +77,7 @@ class WordHasher:
 
     def sets(self, column):
         """Sorted distinct shingle hashes of every row of an Arrow string column, row by row."""
-        for first, last, data, starts, ends in segments(column):
+        for first, last, data, starts, ends in segments(column, 1 << 19):
             h, row = self.words(data, starts, ends)
             count = np.bincount(row, minlength=last - first)
             begin = np.cumsum(count) - count
@@ -202,7 +202,7 @@ def set_table(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row long, n long, cid long, bits binary")
 
 
-def tiles(docs: DataFrame, border: list[int], buckets: int, flush: int = 1 << 20) -> DataFrame:
+def tiles(docs: DataFrame, border: list[int], buckets: int, flush: int = 1 << 19) -> DataFrame:
     """(cids): byte lists of the classes that share a tile key, two at least, each list once in a bucket."""
 
     def emit(batches):
@@ -242,6 +242,8 @@ def tiles(docs: DataFrame, border: list[int], buckets: int, flush: int = 1 << 20
                         keys, cids, held = [], [], 0
         if keys:
             yield blocks(keys, cids)
+        keys, cids = [], []
+        trim()
 
     def meet(frame):
         import pandas as pd
