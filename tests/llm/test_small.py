@@ -384,6 +384,23 @@ def test_edit_distance_and_keys():
             assert lines.letters_apart(sig[:1], sig[1:])[0] <= 2 * d
 
 
+def test_counts_and_lists_of_long_lines():
+    rng = random.Random(5)
+    base = "".join(rng.choices("abcdefgh ", k=400))
+    data = [base] + [edited(rng, base, n) for n in (1, 5, 20, 60)]
+    count = np.frombuffer(b"".join(lines.counts_of(data, flush=700)), np.uint8).reshape(len(data), -1)
+    for other, n in zip(count[1:], (1, 5, 20, 60)):
+        apart = np.minimum(count[0] - other, other - count[0]).astype(int)
+        assert apart[: 2 * lines.LETTERS].sum() <= 2 * n and apart[2 * lines.LETTERS :].sum() <= 4 * n
+    # two lines of block 7 and one of block 9 share a gram, one of them twice; a fourth line is too long for them
+    gram = np.array([5, 5, 5, 5, 5, 6], np.uint64)
+    word = lines.entries(gram, np.array([0, 1, 2, 1, 3, 0]), np.array([40, 40, 42, 44, 40, 90]), np.array([400, 402, 401, 900]))
+    found = [(b.tolist(), x.tolist()) for _, b, x in lines.met_by_grams(word, np.array([7, 7, 9, 7, 9, 7]))]
+    assert found == [([[7, 7, 9]], [[0, 1, 2]])]
+    found = {(b, x) for _, bs, xs in lines.met_by_grams(word, np.array([7, 7, 9, 7, 9, 7]), most=2) for b, x in zip(np.ravel(bs).tolist(), np.ravel(xs).tolist())}
+    assert found == {(7, 0), (7, 1), (9, 2)}
+
+
 def test_line_dedup(spark, docs, empty):
     base = "this line of the text is long enough to count"
     more = [(500, f"{base}\nown words of five hundred here\n\nx", "en", "s"), (501, f"{base}s\nnothing like the first at all", "en", "s"), (502, f"{base[:-3]}\nshort\nshort", "en", "s"), (503, f"  {base}\t", "en", "s")]
