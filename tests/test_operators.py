@@ -38,6 +38,15 @@ def test_triplet_of_a_spaced_row(spark):
     assert got[4] == (d("0.00"), d("7.00"), d("7.00"))
 
 
+def test_the_end_of_a_spaced_amount_is_no_zero(spark):
+    df = spark.createDataFrame([("62 500,01 5 000,00 67 500,01",), ("5 100,00 20,00 120,00",), ("0,00 1 000 000,00 1 000 000,00",)], "t string")
+    got = [tuple(r["s"]) for r in df.select(extract.assign_summary(extract.money_tokens(F.col("t"))).alias("s")).collect()]
+    d = Decimal
+    assert got[0] == (d("5000.00"), d("62500.01"), d("67500.01"))
+    assert got[1] == (d("20.00"), d("100.00"), d("120.00"))
+    assert got[2] == (d("0.00"), d("1000000.00"), d("1000000.00"))
+
+
 def test_party_names_are_cut_at_the_second_firm(spark):
     df = spark.createDataFrame([("Tran, Hurst and Rodgers Stephenson Inc 12",), ("Mendoza and Sons Fuller, Martin and Hays",), ("Acme Inc",)], "t string")
     assert [r[0] for r in df.select(parties.cut_seller("t")).collect()] == ["Tran, Hurst and Rodgers", "Mendoza and Sons", "Acme"]
