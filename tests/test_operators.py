@@ -47,6 +47,13 @@ def test_the_end_of_a_spaced_amount_is_no_zero(spark):
     assert got[2] == (d("0.00"), d("1000000.00"), d("1000000.00"))
 
 
+def test_the_money_line_may_hold_millions(spark):
+    words = page(spark, [(t, 60 * i, 10) for i, t in enumerate("10% 1 036 579,11 96 657,91 1 133 237,02".split())]).withColumn("line_id", F.lit(0))
+    truth = spark.createDataFrame([(1, "96657.91", "1036579.11", "1133237.02")], "key long, tax string, net_worth string, total_amount string")
+    got = {(r["field"], r["start"], r["end"]) for r in weaklabel.line_money_spans(words, truth).collect()}
+    assert got == {("net_worth", 1, 4), ("tax", 4, 6), ("total_amount", 6, 9)}
+
+
 def test_party_names_are_cut_at_the_second_firm(spark):
     df = spark.createDataFrame([("Tran, Hurst and Rodgers Stephenson Inc 12",), ("Mendoza and Sons Fuller, Martin and Hays",), ("Acme Inc",)], "t string")
     assert [r[0] for r in df.select(parties.cut_seller("t")).collect()] == ["Tran, Hurst and Rodgers", "Mendoza and Sons", "Acme"]
