@@ -27,6 +27,49 @@ def test_mean_lines_follow_their_centre(spark):
     assert got["a"] == got["b"] == got["c"] != got["d"]
 
 
+def test_pages_give_what_their_words_give(spark):
+    rows = [("SUMMARY", 0, 10), ("1", 5, 40), ("036", 20, 41), ("579,11", 60, 40), ("5", 5, 70), ("100,00", 20, 72), ("5", 5, 70), ("12.50", 90, 41), ("Client:", 0, 90), ("Fuller-Johnson", 70, 91), (" 7 ", 5, 99)]
+    words = page(spark, rows).unionByName(page(spark, rows[::-1]).withColumn("key", F.lit(2).cast("long")))
+    whole = layout.paged(words)
+    same = lambda a, b: sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(a.columns)).collect()))
+    assert same(layout.unpaged(whole), words)
+    assert same(layout.unpaged(layout.deduped(whole)), layout.deduped(words)) and layout.deduped(words).count() == 20
+    assert same(layout.lines_greedy(whole), layout.lines_greedy(words)) and same(layout.lines_running_mean(whole), layout.lines_running_mean(words))
+    assert same(weaklabel.split_money(layout.lined_pages(whole)), weaklabel.split_money(layout.lines_greedy(words)))
+    assert same(weaklabel.money_ngrams(whole), weaklabel.money_ngrams(words))
+    assert {(str(r["amount"]), r["pos"]) for r in weaklabel.money_ngrams(words).where("key = 1").collect()} >= {("1036579.11", 1), ("36579.11", 2), ("12.50", 7), ("7.00", 10)}
+    assert same(parties.candidates(whole, ("client",), "right", 100), parties.candidates(words, ("client",), "right", 100))
+
+
+def test_derived_words_are_shuffled_and_ranked_nowhere(spark, tmp_path):
+    from docfields.plans import fixtures
+
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date"
+    spark.createDataFrame([(k, 2, 3, n, 1.0, 10.0, 0.0, 0.1, "A", "F", None) for k in (1, 1, 2) for n in (1, 2)], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("select 1L as o_orderkey, 5L as o_custkey, date'2020-01-02' as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    words = fixtures.frame(spark, str(tmp_path), "words")
+    texts = {r["key"]: r["t"] for r in words.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("word_idx", "text"))).alias("t")).collect()}
+    assert [w[0] for w in texts[1]] == list(range(len(texts[1]))) and texts[1][0][1] == "Invoice" and texts[2][0][1] == "1."
+    assert len(texts[2]) == 2 * 11
+    plan = words.groupBy("key").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Window" not in plan
+
+
+def test_a_written_table_leaves_no_shuffle_behind(spark, tmp_path):
+    from docfields.llm import common
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    seen, df = [], spark.range(10).repartition(3, "id")
+    real = df.sparkSession.conf.set
+    before = spark.conf.get(name)
+    spark.conf.set = lambda k, v: (seen.append((k, v)), real(k, v))
+    try:
+        assert common.materialize(df, "t").count() == 10
+    finally:
+        del spark.conf.set
+    assert (name, "true") in seen and spark.conf.get(name) == before
+
+
 def test_triplet_of_a_spaced_row(spark):
     df = spark.createDataFrame([("10% 6 579,11 657,91 7 237,02",), ("1036,58 103,66 1140,24",), ("5,00",), ("3,00 9,00",), ("0,00 7,00",)], "t string")
     got = [r["s"] and tuple(r["s"]) for r in df.select(extract.assign_summary(extract.money_tokens(F.col("t"))).alias("s")).collect()]
