@@ -32,6 +32,7 @@ ORDER = 5
 PRIOR = 200
 START = 10  # a text begins as after line ends
 BLOCK, PIECE = 1 << 25, 1 << 18  # bytes of a block, and of what is hashed at once
+SENT = 1 << 16  # rows of a batch that a worker sends
 RADIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -207,7 +208,9 @@ def gathered(blocks: DataFrame, good: DataFrame) -> DataFrame:
         def put(kind, block, gram, *others):
             none = pa.array(np.zeros(len(gram), np.int64))
             others = [pa.array(x.view(np.int64)) for x in others] or [none] * 3
-            out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), kind, np.int32)), pa.array(np.full(len(gram), block)), pa.array(gram.view(np.int64)), *others], names=names))
+            batch = pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), kind, np.int32)), pa.array(np.full(len(gram), block)), pa.array(gram.view(np.int64)), *others], names=names)
+            # the JVM holds a batch whole, outside its heap and for every running task
+            out.extend(batch.slice(at, SENT) for at in range(0, len(batch), SENT))
 
         if left.num_rows:
             h, block = hashes(), left["block"][0].as_py()
@@ -308,14 +311,16 @@ def score(blocks: DataFrame, answers: DataFrame, unseen: float) -> DataFrame:
         if not left.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())], names=["doc_id", "lang", "row", "n_symbols", "nll"])
         h = hashes()
-        key = right["gram"].to_numpy().astype(np.int64).view(np.uint64)
+        key = np.asarray(right["gram"].to_numpy(), np.int64).view(np.uint64)
         order = np.argsort(key)
         key = np.append(key[order], np.uint64(2**64 - 1))
-        p, backoff = (np.append(right[c].to_numpy()[order].astype(np.float64), np.nan) for c in ("p", "backoff"))
+        # single precision, as they travel; widened where they are looked up
+        p, backoff = (np.append(np.asarray(right[c].to_numpy(), np.float32)[order], np.float32(np.nan)) for c in ("p", "backoff"))
+        del right, order
 
         def known(x: np.ndarray, of: np.ndarray) -> np.ndarray:
             at = np.searchsorted(key[:-1], x)
-            return np.where(key[at] == x, of[at], np.nan)
+            return np.where(key[at] == x, of[at].astype(np.float64), np.nan)
 
         out = []
         kept, kept_cost = np.zeros(1 << 21, np.uint64), np.zeros(1 << 21)  # of grams met in earlier pieces
