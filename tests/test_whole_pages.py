@@ -69,3 +69,31 @@ def test_a_page_is_resolved_in_one_pass_without_shuffling_its_words(spark):
     assert [r[2] == "entity" for r in got] == [True, False, False] and got[1][2] == "anchor_strict"
     plan = parties.resolve(layout.paged(words), None, 100)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" not in plan and plan.count("Exchange") <= 1
+
+
+def test_labels_read_as_expressions_read_them(spark):
+    from docfields.functions import words as S
+
+    texts = ["", "$ 1 140,24", "€-0", "12/20/2014", "20-12-14", "2014-2-30", "2014-02-03T1", "13.13.2014", "No-7!", " Tran  Inc ", "none", "-5,5", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for f in N.FIELDS:
+        for r in df.select("t", N.token_value(f, F.col("t")).alias("word"), N.value_tokens(f, "t").alias("value")).collect():
+            assert (S.token_value(f, r.t), list(S.value_tokens(f, r.t))) == (r.word, r.value), (f, r.t)
+
+
+def test_labels_and_tables_come_from_pages_and_from_words(spark):
+    """Pages that hold their true values, and words beside a table of these, give the same; neither shuffles words twice."""
+    from docfields.operators import extract
+
+    rows = [("Invoice", 5, 10), ("7788", 30, 12), ("Seller:", 5, 40), ("Tran-Kim", 5, 60), ("Hurst", 60, 61), ("Total", 5, 90), ("1", 20, 91), ("036,58", 40, 90), ("103,66", 60, 92), ("1", 70, 90), ("140,24", 80, 91)]
+    words = spark.createDataFrame([(1, i, t, x, y, 8 * len(t), 16) for i, (t, x, y) in enumerate(rows)], "key long, word_idx long, text string, x int, y int, w int, h int")
+    values = ("7788", None, "Tran-Kim Hurst", "Nobody", "103.66", "1036.58", "1140.24")
+    truth = spark.createDataFrame([(1, *values)], "key long, " + ", ".join(f"{f} string" for f in N.FIELDS))
+    held = layout.paged(words).join(truth.select("key", F.array(F.struct(*N.FIELDS)).alias("truth")), "key")
+    one, two = weaklabel.weak_labels(held).collect(), weaklabel.weak_labels(words, layout.lines_greedy(words), truth).collect()
+    assert one == two and len(one) == 1
+    assert one[0]["spans"] == {"invoice_number": [1, 2], "seller_name": [3, 5], "tax": [8, 9], "net_worth": [6, 8], "total_amount": [9, 11]}
+    assert one[0]["labels"][3:5] == ["B-SELLER_NAME", "I-SELLER_NAME"]
+    lined = extract.line_items(layout.lines_greedy(words)).collect()
+    assert sorted(lined) == sorted(extract.line_items(layout.paged(words)).collect()) and {r["raw_text"] for r in lined} >= {"Invoice 7788", "Total 1 036,58 103,66 1 140,24"}
+    assert layout.distinct_places(words.union(words.withColumn("word_idx", F.col("word_idx") + 50))).collect() == [(1, len(rows))]
