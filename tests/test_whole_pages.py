@@ -97,3 +97,36 @@ def test_labels_and_tables_come_from_pages_and_from_words(spark):
     lined = extract.line_items(layout.lines_greedy(words)).collect()
     assert sorted(lined) == sorted(extract.line_items(layout.paged(words)).collect()) and {r["raw_text"] for r in lined} >= {"Invoice 7788", "Total 1 036,58 103,66 1 140,24"}
     assert layout.distinct_places(words.union(words.withColumn("word_idx", F.col("word_idx") + 50))).collect() == [(1, len(rows))]
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables here")
+@pytest.mark.parametrize("name", ["name_longest"])
+def test_names_are_searched_where_pages_are_built(spark, name):
+    """Words do not pass through Spark between building and search, and equal windows are searched once."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables here")
+def test_unread_pages_give_what_built_pages_give(spark):
+    from docfields.plans import whole_pages
+    from docfields.plans.pages import NAMED, WIDTH
+
+    got, want = (parties.candidates(p, ("client",), "right", WIDTH, most=20) for p in (whole_pages.unread_pages(spark, TABLES), whole_pages.pages(spark, TABLES, NAMED)))
+    assert got.schema == want.schema and got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < want.count()
+
+
+def test_candidates_of_equal_windows_and_of_two_anchors():
+    """A window met again is not searched again; spans that two anchors reach count once, at the smaller distance."""
+    page = ["Client:", "Tran,", "Hurst", "and", "Kim", "Tax"]
+    parties.window_candidates.cache_clear()
+    one = parties.page_candidates(page, range(6), [0.75] * 6, ("client",), "right")
+    two = parties.page_candidates(["x", *page, "y"], range(8), [0.75] * 8, ("client",), "right")
+    assert parties.window_candidates.cache_info().misses == 1 and one[0][3:] == (1, 5, "Tran, Hurst and Kim")
+    assert [(*c[:3], c[3] + 1, c[4] + 1, c[5]) for c in one] == two
+    both = parties.page_candidates(["Client:", None, *page], range(8), [0.75] * 8, ("client",), "right")
+    places = [c[3:] for c in both]
+    assert len(places) == len(set(places)) and (0, 3, 7) in [(c[1], *c[3:5]) for c in both]
+    assert parties.page_candidates(page, range(6), [0.75] * 6, ("client",), "right", most=2) == one[:2]
