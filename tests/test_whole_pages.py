@@ -100,7 +100,7 @@ def test_labels_and_tables_come_from_pages_and_from_words(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables here")
-@pytest.mark.parametrize("name", ["name_longest"])
+@pytest.mark.parametrize("name", ["name_longest", "name_candidates_top5"])
 def test_names_are_searched_where_pages_are_built(spark, name):
     """Words do not pass through Spark between building and search, and equal windows are searched once."""
     import __spark_entry__ as entry
