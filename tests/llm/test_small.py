@@ -578,3 +578,33 @@ def test_plan_uses_every_piece_once():
             for n, k in uses.items():
                 used[n] = used.get(n, 0) + copies * k
         assert used == histogram
+
+
+def test_pairs_of_connected_and_settled_lines_are_not_compared():
+    """Lines of one label cost no comparison of counts, nor do two lines that have a partner each; what is found stays the same."""
+
+    class Counted(np.ndarray):
+        asked = 0
+
+        def __getitem__(self, at):
+            if isinstance(at, tuple) and len(at) == 2 and isinstance(at[0], np.ndarray):
+                Counted.asked += len(at[0])
+            elif isinstance(at, np.ndarray):
+                Counted.asked += len(at)
+            return np.asarray(self)[at]
+
+    n = 200
+    tile, length, label = np.zeros(n, np.int64), np.full(n, 100), np.zeros(n, np.int64)
+    label[50] = 1
+    count = np.zeros((n, 2 * lines.LETTERS + lines.PAIRS), np.uint8)
+    found = {p for i, j in lines.wide_pairs(tile, length, count.view(Counted), label) for p in zip(i.tolist(), j.tolist())}
+    assert found == {(min(k, 50), max(k, 50)) for k in range(n) if k != 50}
+    assert Counted.asked <= 4 * n
+    letters = np.zeros((n, lines.LETTERS), np.uint8)
+    letters[7] = 100
+    some, Counted.asked = np.zeros(n, bool), 0
+    for i, j, _ in lines.close_letters(tile, length, letters.view(Counted), settled=some):
+        some[i] = some[j] = True
+    assert some.sum() == n - 1 and not some[7] and Counted.asked <= 6 * n
+    every = {k for i, j, _ in lines.close_letters(tile, length, letters) for k in (*i.tolist(), *j.tolist())}
+    assert every == set(np.flatnonzero(some).tolist())
