@@ -1,6 +1,7 @@
 """Every operator on tiny tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing column names."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -439,6 +440,42 @@ def test_long_lines_repeat_in_proportion(spark):
     assert got == {i: int(group[i] != i) for i in range(len(data))}
 
 
+def test_a_hot_gram_connects_as_its_pairs_do():
+    rng = np.random.default_rng(1)
+    for _ in range(25):
+        n, length = int(rng.integers(2, 70)), rng.choice([60, 62, 66, 80, 400, 410, 430, 70_000, 150_000], 40)
+        who = rng.integers(0, 40, n)
+        gram, place = rng.integers(0, 3, n).astype(np.uint64), (rng.random(n) * length[who]).astype(int)
+        word = np.sort(lines.entries(gram, who, place, length))
+        bits = [(word >> np.uint64(low) & np.uint64((1 << k) - 1)).astype(int) for low, k in ((34, 30), (26, 8), (11, 15), (0, 11))]
+        key, step, spot, line = bits
+        reach = np.where((step == 255) | (spot == (1 << 15) - 1), 1 << 15, (57 * 1.03 ** (step + 1) / 40).astype(int) + 2)
+        root = list(range(n))
+        for _ in range(n):
+            new = [min([root[j] for j in range(n) if key[i] == key[j] and abs(step[i] - step[j]) <= 2 and abs(spot[i] - spot[j]) <= reach[max(i, j)]]) for i in range(n)]
+            if new == root:
+                break
+            root = new
+        want = {tuple(sorted({int(line[i]) for i in range(n) if root[i] == r})) for r in set(root)}
+        got = {tuple(x) for _, _, found in lines.met_by_grams(word, np.zeros(n, int)) for x in found.tolist()}
+        assert got == {x for x in want if len(x) > 1}
+    # one gram 150,000 times, in 50 periodic lines of two lengths that cannot be within the distance
+    who = np.repeat(np.arange(50), 3_000)
+    word = lines.entries(np.full(len(who), 5, np.uint64), who, np.tile(np.arange(3_000) * 4, 50), np.where(np.arange(50) < 25, 12_100, 24_000))
+    began = time.process_time()
+    found = [x.tolist() for _, _, x in lines.met_by_grams(word, np.zeros(len(word), int))]
+    assert [sorted(x) for x in found] == [[list(range(25)), list(range(25, 50))]] and time.process_time() - began < 20
+
+
+def test_pairs_of_shared_tiles_come_once():
+    tile, cids = np.repeat([3, 5, 9], 3), np.array([1, 2, 3, 1, 2, 4, 1, 2, 3])
+    known = {1: [3, 5, 9], 2: [3, 5, 9], 3: [3, 9], 4: None}
+    count = np.zeros((9, 2 * lines.LETTERS + lines.PAIRS), np.uint8)
+    tiles = [known[c] and np.array(known[c]) for c in cids.tolist()]
+    pairs = [(int(cids[p]), int(cids[q])) for i, j in lines.wide_pairs(tile, np.full(9, 100), count, cids, tiles) for p, q in zip(i, j)]
+    assert sorted(pairs) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4)]
+
+
 def test_short_lines_repeat_if_equal(spark):
     data = [(1, "Read more\nown text here\n\n\nx", "en", "s"), (2, " Read  more \nRead mora\nx\n", "en", "s"), (3, "読む。\n読む。", "ja", "s")]
     got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in lines.dedup(table(spark, data), exact_chars=1).collect()}
