@@ -476,6 +476,19 @@ def test_pairs_of_shared_tiles_come_once():
     assert sorted(pairs) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4)]
 
 
+def test_many_bands_at_once():
+    rng, a, b = random.Random(4), [], []
+    for length, letters in ((60, "ab"), (700, "abcdefgh "), (1_200, "".join(map(chr, range(200, 500))))):
+        base = "".join(rng.choice(letters) for _ in range(length))
+        for n in (1, length // 40, length // 20, length // 15, length // 5):
+            x, y = sorted((edited(rng, base, n // 2), edited(rng, base, n - n // 2)), key=len)
+            a.append(x), b.append(y)
+    k = np.array([len(y) // 20 for y in b])
+    want = [lines.banded(x, y, int(z)) for x, y, z in zip(a, b, k)]
+    assert 3 < sum(want) < len(a) and k.max() > 31
+    assert lines.banded_many(a, b, k).tolist() == lines.banded_many(a, b, k, 4).tolist() == want
+
+
 def test_short_lines_repeat_if_equal(spark):
     data = [(1, "Read more\nown text here\n\n\nx", "en", "s"), (2, " Read  more \nRead mora\nx\n", "en", "s"), (3, "読む。\n読む。", "ja", "s")]
     got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in lines.dedup(table(spark, data), exact_chars=1).collect()}
