@@ -81,6 +81,24 @@ def test_triplet_of_a_spaced_row(spark):
     assert got[4] == (d("0.00"), d("7.00"), d("7.00"))
 
 
+def test_totals_are_searched_among_all_amounts(spark):
+    # one amount a line, so only all together can add up: exactly in the middle (400 + 1700), then nearly
+    apart = [1000 * 3**k for k in range(3, 14)]
+    pages = [[11, 12, 400, 1700, 2100, 80000, *apart, 14, 16, 17], [n * n * 1009 + 70000 for n in range(2, 22)][::-1]]
+    rows = [(key, line, f"{n},00") for key, own in enumerate(pages) for line, n in enumerate(own)]
+    got = {r["key"]: r for r in extract.totals(spark.createDataFrame(rows, "key long, line_id int, text string")).collect()}
+
+    def best(own):
+        own = sorted({100 * n for n in own})
+        fits = [(abs(a + b - c), -c, -b, a) for c in own for a in own for b in own if a <= b and abs(a + b - c) / 100 <= max(c / 100 * 0.015, 1.0)]
+        err, c, b, a = min(fits)
+        return a / 100, -b / 100, -c / 100
+
+    for key, own in enumerate(pages):
+        assert got[key]["path"] == "fallback_all_amounts"
+        assert tuple(float(got[key][c]) for c in ("tax", "net_worth", "total_amount")) == best(own)
+
+
 def test_the_end_of_a_spaced_amount_is_no_zero(spark):
     df = spark.createDataFrame([("62 500,01 5 000,00 67 500,01",), ("5 100,00 20,00 120,00",), ("0,00 1 000 000,00 1 000 000,00",)], "t string")
     got = [tuple(r["s"]) for r in df.select(extract.assign_summary(extract.money_tokens(F.col("t"))).alias("s")).collect()]
