@@ -130,3 +130,44 @@ def test_candidates_of_equal_windows_and_of_two_anchors():
     places = [c[3:] for c in both]
     assert len(places) == len(set(places)) and (0, 3, 7) in [(c[1], *c[3:5]) for c in both]
     assert parties.page_candidates(page, range(6), [0.75] * 6, ("client",), "right", most=2) == one[:2]
+
+
+ODD = ("", " ", "Items", "SELLER:", "client", "total", "1", "036", "579,11", " Summary\n", "6", "x1", None, "10%", "1 036", "Kim", "and", "Hood-Kim")
+
+
+def odd_pages(n):
+    import random
+
+    draw = random.Random(7)
+    for _ in range(n):
+        size = draw.randrange(1, 40)
+        yield [draw.choice(ODD[:12] if draw.random() < 0.5 else ODD) for _ in range(size)], [draw.randrange(0, 1000, 50) for _ in range(size)], sorted(draw.randrange(0, 900, 9) for _ in range(size))
+
+
+def test_pages_whose_places_are_a_range_give_the_same():
+    for texts, xs, ys in odd_pages(300):
+        ids, hs = list(range(len(texts))), [16] * len(texts)
+        lines = layout.page_lines(ys, xs, ids, hs)
+        assert [v + 1 for v in lines] == layout.page_lines([*ys, None], [*xs, 0], [*ids, -1], [*hs, None])[:-1]  # a word without y is the first line
+        both = range(len(texts)), ids
+        one, two = (weaklabel.page_amounts(texts, xs, own, lines, True) for own in both)
+        assert one == two
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables here")
+@pytest.mark.parametrize("name", ["weak_labels"])
+def test_words_do_not_pass_through_spark(spark, name):
+    from docfields.plans import catalogue, pages  # noqa: F401
+
+    plan = catalogue.QUERIES[name](spark, TABLES)._jdf.queryExecution().analyzed().toString()
+    assert "ws#" not in plan and "MapInArrow" in plan
+
+
+def test_an_amount_of_the_money_line_is_not_searched(spark, monkeypatch):
+    texts = "Seller: Kim 10% 6 579,11 657,91 7 237,02".split()
+    truth = {"invoice_number": None, "invoice_date": None, "seller_name": "Kim", "client_name": None, "tax": "657.91", "net_worth": "6579.11", "total_amount": "7237.02"}
+    searched = []
+    monkeypatch.setattr(weaklabel, "most_similar", lambda hay, needle, *_: searched.append(needle))
+    spans = weaklabel.page_spans_of_truth(texts, [60 * i for i in range(8)], range(8), ([0] * 8,), [truth])
+    assert spans == [("seller_name", 1, 2), ("tax", 5, 6), ("net_worth", 3, 5), ("total_amount", 6, 8)]
+    assert not [n for n in searched if n]
