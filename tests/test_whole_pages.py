@@ -155,7 +155,7 @@ def test_pages_whose_places_are_a_range_give_the_same():
 
 
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables here")
-@pytest.mark.parametrize("name", ["weak_labels", "money_line_pages", "money_split_tokens"])
+@pytest.mark.parametrize("name", ["weak_labels", "money_line_pages", "money_split_tokens", "line_items_table"])
 def test_words_do_not_pass_through_spark(spark, name):
     from docfields.plans import catalogue, pages  # noqa: F401
 
