@@ -146,16 +146,19 @@ def odd_pages(n):
 
 def test_pages_whose_places_are_a_range_give_the_same():
     for texts, xs, ys in odd_pages(300):
-        ids, hs = list(range(len(texts))), [16] * len(texts)
+        ids, hs, ws = list(range(len(texts))), [16] * len(texts), [8 * len(t or "") for t in texts]
         lines = layout.page_lines(ys, xs, ids, hs)
         assert [v + 1 for v in lines] == layout.page_lines([*ys, None], [*xs, 0], [*ids, -1], [*hs, None])[:-1]  # a word without y is the first line
         both = range(len(texts)), ids
         one, two = (weaklabel.page_amounts(texts, xs, own, lines, True) for own in both)
         assert one == two
+        centres = [parties.center(x, w, 1000) for x, w in zip(xs, ws)]
+        for find in (parties.page_inline_pair, lambda *a: parties.page_nearest_after_anchor(*a, "client", 4.0), lambda *a: parties.page_nearest_after_anchor(*a, "seller", 4.0, nearest=True)):
+            assert find(texts, both[0], centres) == find(texts, ids, centres)
 
 
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables here")
-@pytest.mark.parametrize("name", ["weak_labels", "money_line_pages", "money_split_tokens", "line_items_table"])
+@pytest.mark.parametrize("name", ["weak_labels", "money_line_pages", "money_split_tokens", "line_items_table", "party_resolve", "resolution_source_status"])
 def test_words_do_not_pass_through_spark(spark, name):
     from docfields.plans import catalogue, pages  # noqa: F401
 
